@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polystrata.session import ship
+
 #: Bytes up to which a driver-built lookup may be broadcast; beyond it the
 #: operators join on the key instead.
 BROADCAST_LIMIT = 64 << 20
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what one Arrow batch holds, so that long texts can't fill a Python worker."""
+    """Bounds what one Arrow batch holds, so that long texts can't fill a Python worker; executors get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -82,6 +85,23 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """(doc_id, label, text) of about ``rows`` labelled documents of each class of ``column`` (0 or 1), chosen by a hash of doc_id.
+
+    Labels with a null, or of a doc_id with both values, are left out. The
+    chosen labels, of a bounded number, are broadcast.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(column).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
+    own = own.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__y1")).where("__y = __y1").drop("__y1")
+    counts = {r[0]: r[1] for r in own.groupBy("__y").count().collect()}
+    part = F.pmod(F.xxhash64("__id"), F.lit(1 << 20))
+    keep = F.lit(False)
+    for y, n in sorted(counts.items()):
+        keep = keep | ((F.col("__y") == y) & (part < int((1 << 20) * min(1.0, rows / n)) + 1))
+    d = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
+    return d.join(F.broadcast(own.where(keep)), "__id").select(F.col("__id").alias("doc_id"), F.col("__y").alias("label"), "text")
+
+
 # ------------------------------------------------------------------------- text
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polystrata.llm import ngram_join
+from polystrata.llm import language_id, mixing, ngram_join, quality, sentence_pieces, sharding, topk_search, toxicity
 from polystrata.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,12 +15,55 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated compression score."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every passage of benchmark."""
+    return topk_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many copies of every document the mixture holds."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; documents of equal text are one group, so that a shard can be deduplicated by itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("copy_of"), mixing.token_count(F.col("text")).alias("tokens"))
+    return sharding.shard(docs, ["copy_of"], F.col("tokens")).select("doc_id", "shard", "tokens", "group_size")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language and labelled spans."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids under merge-dropout, decoded again."""
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All near-copy pairs of documents."""
     return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
 
 
-QUERIES["op9_ngram_jaccard"] = op9_ngram_jaccard
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents, with what was found in them as written and once restored."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+for _f in (op1_quality_classifier, op3_topk_search, op4_mixing, op5_sharding, op7_language_id, op8_sentence_pieces, op9_ngram_jaccard, op10_toxicity):
+    QUERIES[_f.__name__] = _f
+
+ORACLE["op3_topk_search"] = topk_search.SQL
+ORACLE["op4_mixing"] = mixing.SQL
 ORACLE["op9_ngram_jaccard"] = """
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, gram FROM (
