@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polystrata.llm import language_id, mixing, ngram_join, quality, sentence_pieces, sharding, topk_search, toxicity
+from polystrata.llm import language_id, mixing, ngram_join, nn_descent, quality, sentence_pieces, sharding, topk_search, toxicity, wrappers
 from polystrata.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's texts by slot of its host's wrapper, and its content."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents for every passage of benchmark."""
     return topk_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,6 +42,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, ["copy_of"], F.col("tokens")).select("doc_id", "shard", "tokens", "group_size")
 
 
+def op6_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-duplicate vectors."""
+    return nn_descent.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language and labelled spans."""
     docs = table(spark, sf_dir, "documents")
@@ -59,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-for _f in (op1_quality_classifier, op3_topk_search, op4_mixing, op5_sharding, op7_language_id, op8_sentence_pieces, op9_ngram_jaccard, op10_toxicity):
+for _f in (op1_quality_classifier, op2_html_extraction, op3_topk_search, op4_mixing, op5_sharding, op6_embedding_neighbours, op7_language_id, op8_sentence_pieces, op9_ngram_jaccard, op10_toxicity):
     QUERIES[_f.__name__] = _f
 
 ORACLE["op3_topk_search"] = topk_search.SQL
