@@ -37,3 +37,8 @@ def telemetry_minute_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("bucket")).agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")
     )
+
+
+def load() -> None:
+    """Imports the modules that register the other queries."""
+    from polystrata.plans import content_queries, graph_queries, stream_queries, telemetry_queries  # noqa: F401

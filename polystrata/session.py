@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -31,3 +33,25 @@ def session(name: str = "polystrata", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+# --------------------------------------------------------------- shared storage
+
+
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="polystrata-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where the session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or _own_dir()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it again, so that its lineage ends in files that outlive any executor."""
+    path = f"{shared_dir(df.sparkSession)}/polystrata-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
