@@ -82,10 +82,8 @@ def collapse(stream: list[str]) -> list[Item]:
             later = where[keys[i]]
             while later and later[-1] <= i:
                 later.pop()
-            for j in reversed(later):
+            for j in (j for j in reversed(later) if 2 * j - i <= n):
                 p = j - i
-                if j + p > n:
-                    break
                 if keys[i + p - 1] == keys[j + p - 1] and keys[i:j] == keys[j : j + p]:
                     r = 2
                     while keys[i + r * p : i + (r + 1) * p] == keys[i:j]:
