@@ -121,10 +121,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str | None, float] | N
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str | None, float] | None = None, budget: float = BUDGET, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as mix() says, with their columns, whatever their names."""
-    keyed = with_keys(docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), labels, seed)
+    own = ["doc_id", "text", "source"]
+    rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("__row")  # out of the way of names used here
+    keyed = with_keys(docs.select(*own, rest), labels, seed)
     out = with_copies(keyed, plan(keyed, targets, budget, temper)).where("copies > 0")
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return out.withColumn("__copy", again).select("__row.*")
+    return out.withColumn("__copy", again).select(*[F.col(c) if c in own else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same copies in DuckDB SQL, with the parameters above.
