@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -65,9 +66,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, n: int, key: str = "vec_id"
     """
     spark = vectors.sparkSession
     out = None
-    rows = [(r[0], r[1]) for r in queries.select(key, vector).toLocalIterator()]
-    for at in range(0, len(rows), 4096):
-        part = rows[at : at + 4096]
+    rows = ((r[0], r[1]) for r in queries.select(key, vector).toLocalIterator())
+    while part := list(itertools.islice(rows, 4096)):
         ids = np.array([r[0] for r in part], np.int64)
         q = np.array([r[1] for r in part], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -75,19 +75,24 @@ def knn_join(queries: DataFrame, vectors: DataFrame, n: int, key: str = "vec_id"
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            best_i, best_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            r, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            worst = np.full(len(ids), -np.inf)  # what a vector must reach to be among a query's n + 1 best, of which it may be one itself
             for b in batches:
-                if not len(b):
-                    continue
+                own = b.iloc[:, 0].to_numpy(np.int64)
                 x = np.array(b.iloc[:, 1].tolist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.hstack([best_s, np.round(q @ x.T, 6)])
-                i = np.hstack([best_i, np.broadcast_to(b.iloc[:, 0].to_numpy(np.int64), (len(ids), len(b)))])
-                o = np.lexsort((i, -s))[:, : n + 1] if s.ndim > 1 else None
-                best_s, best_i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
-            if best_s.shape[1]:
-                m = best_s.shape[1]
-                d = pd.DataFrame({"query_id": np.repeat(ids, m), key: best_i.ravel(), "score": best_s.ravel()})
+                for k in range(0, len(own), 1024):
+                    y = x[k : k + 1024]
+                    t = np.round(q @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)).T, 6)
+                    least = worst if len(y) <= n or np.isfinite(worst).all() else np.maximum(worst, np.partition(t, -n - 1, axis=1)[:, -n - 1])
+                    a, c = np.nonzero(t >= least[:, None])
+                    r, i, s = np.concatenate([r, a]), np.concatenate([i, own[k + c]]), np.concatenate([s, t[a, c]])
+                    o = np.lexsort((i, -s, r))
+                    r, i, s = r[o], i[o], s[o]
+                    rank = np.arange(len(r)) - np.searchsorted(r, r)
+                    worst[r[rank == n]] = s[rank == n]
+                    r, i, s = r[rank <= n], i[rank <= n], s[rank <= n]
+            if len(r):
+                d = pd.DataFrame({"query_id": ids[r], key: i, "score": s})
                 yield d[d["query_id"] != d[key]]
 
         hits = vectors.select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")

@@ -165,6 +165,13 @@ def knn_batch_join(spark, d):
     return V.knn_join(v.where("label = 7"), v, 5)
 
 
+@query()
+def knn_self_join(spark, d):
+    """The 5 nearest of every vector. Its SQL would be quadratic; tests hold it against brute force."""
+    v = _vec(spark, d)
+    return V.knn_join(v, v, 5)
+
+
 @query("""WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL)
           SELECT label, max(n) AS n, list(round(m, 6) ORDER BY i) AS centroid FROM m GROUP BY 1""")
 def average_embedding_per_label(spark, d):
