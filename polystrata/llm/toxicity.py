@@ -1,9 +1,9 @@
 """Toxicity of text behind leetspeak, spacing and repetition.
 
 A noisy channel: what was written comes from clean letters by substitution
-(1 for i), by separators between letters and by repeated letters. Each suspicious
-stretch is a lattice of the letters it may stand for; Viterbi finds the best path
-under a character 4-gram model of the whole corpus and the channel's costs.
+(1 for i), by separators between letters and by repeated letters. Each stretch
+that could hold a lexicon entry (see ``Gate``) is a lattice of the letters it may
+stand for; Viterbi finds the best path under a character 4-gram model of the whole corpus and the channel's costs.
 Toxic words, learnt from labelled documents, are then sought in the text as
 written and in what was restored, and their weights give a calibrated score.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import alpha_table, code_points, labelled, slices, tune
+from polystrata.llm.common import code_points, labelled, slices, tune
 
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -144,70 +144,100 @@ def restore(s: str, lm: np.ndarray) -> str:
 
 
 @functools.cache
-def _classes() -> np.ndarray:
-    """1 letter, 2 digit of LEET, 4 other sign of LEET, 8 white space."""
-    t = alpha_table().astype(np.uint8)
-    for ch in LEET:
-        t[ord(ch)] = 2 if ch.isdigit() else 4
+def skeleton_table() -> np.ndarray:
+    """Code point -> 0 always a boundary, 1..26 a letter or sign, letters that one sign may stand for alike, 27 a separator."""
+    alike = np.arange(ALPHABET, dtype=np.uint8)
+    for codes in LEET.values():
+        own = [alike[ord(x) - 96] for x in codes]
+        alike[np.isin(alike, own)] = min(own)
+    t = alike[fold_table()]
+    for ch, codes in LEET.items():
+        t[ord(ch)] = alike[ord(codes[0]) - 96]
+    for ch in SEPARATORS:
+        t[ord(ch)] = ALPHABET
+    return t
+
+
+class Gate:
+    """Finds where the lattice may hold lexicon entries: without separators, with repeats as one letter, and with letters that one sign may stand for alike, an entry is there."""
+
+    def __init__(self, weights: Iterable[str]):
+        by: dict[str, list[tuple[str, bool]]] = defaultdict(list)
+        for w in weights:
+            stem = _fold(w.rstrip("*"))
+            if stem and all("a" <= c <= "z" for c in stem):
+                k = skeleton_table()[[ord(c) for c in stem]]
+                by["".join(chr(c + 96) for c in k[np.append(True, k[1:] != k[:-1])])].append((w, w.endswith("*")))
+        self.auto = ahocorasick.Automaton()
+        for key, own in by.items():
+            self.auto.add_word(key, (len(key), own))
+        self.empty = not by
+        if by:
+            self.auto.make_automaton()
+
+    def stretches(self, texts: list[str], known: list[set[str]] | None = None) -> list[tuple[int, str]]:
+        """(text, stretch) of what must be decoded: the words around each place; entries that are ``known`` in a text aren't sought in it.
+
+        Letters set apart are one stretch, with all next to them that are apart too.
+        """
+        if self.empty:
+            return []
+        cps, at = code_points(texts)
+        k = skeleton_table()[cps]
+        place = np.flatnonzero(k != ALPHABET)
+        v = k[place]
+        head = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (v[1:] == 0)))
+        first, last = place[head], place[np.append(head[1:], len(place)) - 1]
+        # Before an entry, and after a whole word, something must be able to be a boundary.
+        other = np.append(0, np.cumsum(fold_table()[cps] == 0))
+        line = (v[head] + 96).tobytes().decode("latin-1")
+        spans = set()
+        for e, (size, own) in self.auto.iter(line):
+            b = e - size + 1
+            if b and other[last[b] + 1] == other[first[b - 1]]:
+                continue
+            whole = other[first[e + 1] + 1] > other[first[e]]
+            if not any(begins or whole for _, begins in own):
+                continue
+            t = int(np.searchsorted(at, first[b], "right")) - 1
+            if known is None or any((begins or whole) and w not in known[t] for w, begins in own):
+                # The entry may begin and end at any repeat of its edge letters.
+                spans |= {(t, x, y) for x in {int(first[b]), int(last[b])} for y in {int(first[e]), int(last[e])} if x <= y}
+        if not spans:
+            return []
+        text, begin, end = np.array(sorted(spans)).T
+        begin, end = _around(cps, begin, end)
+        return [(t, x) for t, b, e in sorted(set(zip(text.tolist(), (begin - at[text]).tolist(), (end - at[text]).tolist()))) for x in _pieces(texts[t][b:e])]
+
+
+@functools.cache
+def _blank() -> np.ndarray:
+    """Code point -> white space, or 0."""
+    t = np.zeros(0x110000, bool)
     for i in range(0x3001):
-        if chr(i).isspace() or i == 0:
-            t[i] = 8
+        t[i] = i == 0 or chr(i).isspace()
     return t
 
 
-def stretches(texts: list[str]) -> list[tuple[int, str]]:
-    """(text, stretch) of what may be obfuscated: words with signs for letters, letters set apart, letters three times running."""
-    cps, at = code_points(texts)
-    k = _classes()[cps]
-    letter = k == 1
-    n = len(cps)
-
-    def near(a: np.ndarray, d: int) -> np.ndarray:
-        """a[i + d] at i, False past the ends."""
-        out = np.zeros(n, bool)
-        if abs(d) < n:
-            if d >= 0:
-                out[: n - d] = a[d:]
-            else:
-                out[-d:] = a[:d]
-        return out
+def _around(cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words from that at ``begin`` to that at ``end``; a word of one character brings all those beside it."""
+    blank = _blank()[cps]
+    edge = np.flatnonzero(np.diff(~blank, prepend=False, append=False))
+    b, e = edge[0::2], edge[1::2]
+    lone = e - b == 1
+    line = np.append(0, np.cumsum(blank & (cps != 32)))
+    link = np.zeros(len(b) + 1, bool)
+    link[1:-1] = lone[1:] & lone[:-1] & (line[b[1:]] == line[e[:-1]])
+    n = np.arange(len(b))
+    left = np.maximum.accumulate(np.where(link[:-1], 0, n))
+    right = np.minimum.accumulate(np.where(link[1:], len(b), n)[::-1])[::-1]
+    return b[left[np.searchsorted(b, begin, "right") - 1]], e[right[np.searchsorted(b, end, "right") - 1]]
 
-    after = near(letter, 1)
-    digit = (k == 2) & (after | near(letter, -1))
-    sign = (k == 4) & after
-    low = fold_table()[cps]
-    thrice = letter & (low > 0)
-    thrice[:-2] &= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    thrice[-2:] = False
-    glyph = letter | (k == 2) | (k == 4)
-    lone = glyph & ~near(glyph, 1) & ~near(glyph, -1)
-    apart = lone & near(lone, 2) & near(lone, 4) & letter
-    hit = np.flatnonzero(digit | sign | thrice | apart)
-    if not len(hit):
-        return []
-    gaps = np.flatnonzero(k == 8)
-    # Words around the hits; a run of lone glyphs two apart is one stretch.
-    begin = np.where(np.searchsorted(gaps, hit) > 0, gaps[np.searchsorted(gaps, hit) - 1] + 1, 0)
-    end = gaps[np.minimum(np.searchsorted(gaps, hit), len(gaps) - 1)]
-    for i in np.flatnonzero(apart[hit]):
-        e = hit[i]
-        while e + 2 < n and lone[e + 2]:
-            e += 2
-        end[i] = max(end[i], e + 1)
-    order = np.lexsort((-end, begin))
-    begin, end = begin[order], end[order]
-    text = np.searchsorted(at, begin, "right") - 1
-    out, last = [], -1
-    for b, e, t in zip(begin.tolist(), end.tolist(), text.tolist()):
-        if e <= last:
-            continue
-        last = e
-        s = texts[t][b - at[t] : e - at[t]]
-        if len(s) <= MOST_STRETCH:
-            out.append((t, s))
-        else:
-            out += [(t, s[i : i + MOST_STRETCH]) for i in range(0, len(s) - MOST_STRETCH // 2, MOST_STRETCH // 2)]
-    return out
+
+def _pieces(s: str) -> list[str]:
+    if len(s) <= MOST_STRETCH:
+        return [s]
+    return [s[i : i + MOST_STRETCH] for i in range(0, len(s) - MOST_STRETCH // 2, MOST_STRETCH // 2)]
 
 
 # --------------------------------------------------------------------- scoring
@@ -346,22 +376,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 class Scorer:
     def __init__(self, m: Model):
-        self.m, self.plain, self.folded, self.memo = m, Matcher(m.weights), Matcher(m.weights, True), {}
+        self.m, self.plain, self.folded, self.gate, self.memo = m, Matcher(m.weights), Matcher(m.weights, True), Gate(m.weights), {}
 
     def _restored(self, s: str) -> frozenset:
         if (got := self.memo.get(s)) is None:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            got = self.memo[s] = frozenset(self.folded.find(restore(s, self.m.lm)))
+            # Other accents alone hide nothing.
+            got = self.memo[s] = frozenset(self.folded.find(restore(s, self.m.lm)) - self.folded.find(_fold(s.lower())))
         return got
 
     def score(self, texts: list[str]) -> list[tuple[float, list[str], list[str]]]:
         """(probability, entries in the text as written, further entries in what was restored) of each text."""
         plain = [self.plain.find(t.lower()) for t in texts]
         more: list[set] = [set() for _ in texts]
-        if self.m.weights:
-            for t, s in stretches(texts):
-                more[t] |= self._restored(s) - plain[t]
+        for t, s in self.gate.stretches(texts, plain):
+            more[t] |= self._restored(s) - plain[t]
         out = []
         for p, r in zip(plain, more):
             x = sum(self.m.weights[w] for w in p | r)

@@ -111,6 +111,23 @@ def test_toxic_documents_found(spark):
     assert {x.doc_id for x in toxicity.toxic_documents(docs, m).collect()} == {i for i, _, y in rows if y}
 
 
+def _scorer(words):
+    text = " ".join(words) + " you and that of the one in this other words to be so "
+    counts = np.bincount(toxicity._grams([text * 50]), minlength=toxicity.ALPHABET**4)
+    return toxicity.Scorer(toxicity.Model(dict.fromkeys(words, 4.0), 1.0, 0.0, 0.5, toxicity.model_of(counts.astype(float))))
+
+
+def test_every_noise_of_the_channel_is_decoded():
+    s = _scorer(["jerks", "idiot", "moron"])
+    forms = {"jerks": ["jerk$"], "moron": ["morron", "mo-ron"], "idiot": ["idio+", "iddiot", "idi-ot", "id.iot", "id iot", "i  d  i  o  t", "i - d - i - o - t", "1d10t", "i d i o t"]}
+    for w, own in forms.items():
+        for f in own:
+            assert s.score([f"you and {f} of the other"])[0][2] == [w], f
+    clean = ["you and the one", "idiots", "xid-iot", "id-iots", "c l a s s i c", "ídiot", "", "mor onto"]
+    assert all(r == (0.0, [], []) for r in s.score(clean))
+    assert [r[2] for r in s.score(["clean words", "id-iot", "none"])] == [[], ["idiot"], []]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, labels):
     assert toxicity.toxic_documents(none, toxicity.train(none, labels)).count() == 0
     got = toxicity.toxic_documents(odd, toxicity.train(odd, labels)).collect()
