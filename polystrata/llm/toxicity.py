@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,9 @@ SEPARATORS = " .-_*~,·"
 SUBSTITUTE, DROP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT = 1.5, 0.5, 0.3, 0.7  #: channel costs in nats
 TRAIN_ROWS = 4000  #: labelled rows of each class, about, that the lexicon and the calibration are fitted on
 ALPHABET = 27  #: letters folded to a-z, and the word boundary
-MOST_STRETCH = 64  #: characters of a stretch that is decoded at once; longer ones are decoded in pieces that overlap by half
+MOST_RUN = 4  #: of a letter or sign repeated more often, apart or not, so many are decoded
+MOST_MEMO = 256  #: characters of a stretch whose result is kept
+_RUN = re.compile(r"([^\W_]|[" + re.escape("".join(c for c in LEET if not c.isalnum())) + r"])(?:([" + re.escape(SEPARATORS) + r"]*)\1){" + str(MOST_RUN) + ",}")
 
 
 # ------------------------------------------------------------- character model
@@ -207,7 +210,7 @@ class Gate:
             return []
         text, begin, end = np.array(sorted(spans)).T
         begin, end = _around(cps, begin, end)
-        return [(t, x) for t, b, e in sorted(set(zip(text.tolist(), (begin - at[text]).tolist(), (end - at[text]).tolist()))) for x in _pieces(texts[t][b:e])]
+        return [(t, _RUN.sub(lambda m: m[1] + (m[2] + m[1]) * (MOST_RUN - 1), texts[t][b:e])) for t, b, e in sorted(set(zip(text.tolist(), (begin - at[text]).tolist(), (end - at[text]).tolist())))]
 
 
 @functools.cache
@@ -234,12 +237,6 @@ def _around(cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return b[left[np.searchsorted(b, begin, "right") - 1]], e[right[np.searchsorted(b, end, "right") - 1]]
 
 
-def _pieces(s: str) -> list[str]:
-    if len(s) <= MOST_STRETCH:
-        return [s]
-    return [s[i : i + MOST_STRETCH] for i in range(0, len(s) - MOST_STRETCH // 2, MOST_STRETCH // 2)]
-
-
 # --------------------------------------------------------------------- scoring
 
 
@@ -288,8 +285,6 @@ def _contexts(rows: list[tuple[int, str]]) -> tuple[dict, dict, dict, int]:
 
     A toxic text half of whose word pairs earlier ones had is a copy and doesn't count.
     """
-    import re
-
     word = re.compile(r"[^\W\d_]+")
     after: dict[str, set] = defaultdict(set)
     texts: dict[str, int] = defaultdict(int)
@@ -383,7 +378,9 @@ class Scorer:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             # Other accents alone hide nothing.
-            got = self.memo[s] = frozenset(self.folded.find(restore(s, self.m.lm)) - self.folded.find(_fold(s.lower())))
+            got = frozenset(self.folded.find(restore(s, self.m.lm)) - self.folded.find(_fold(s.lower())))
+            if len(s) <= MOST_MEMO:
+                self.memo[s] = got
         return got
 
     def score(self, texts: list[str]) -> list[tuple[float, list[str], list[str]]]:

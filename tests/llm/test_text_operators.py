@@ -128,6 +128,13 @@ def test_every_noise_of_the_channel_is_decoded():
     assert [r[2] for r in s.score(["clean words", "id-iot", "none"])] == [[], ["idiot"], []]
 
 
+def test_long_stretches_are_decoded_whole():
+    s = _scorer(["idiot"])
+    for f in ("idi" + "o" * 80 + "t", "i" * 30 + "-" + "d" * 30 + " i " + "o" * 40 + ".t", "id1" + "0" * 50 + "+" * 40, "i d i" + " o" * 50 + " t", "other-" * 30 + "id-iot"):
+        assert s.score([f"you and {f} of the other"])[0][2] == ["idiot"], f
+    assert s.score(["x" * 31 + "id-iot", "other" * 40 + "id-iot", "i" * 100])[0:3] == [(0.0, [], [])] * 3
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, labels):
     assert toxicity.toxic_documents(none, toxicity.train(none, labels)).count() == 0
     got = toxicity.toxic_documents(odd, toxicity.train(odd, labels)).collect()
