@@ -6,16 +6,18 @@ that point to it or that it points to are compared with one another. A vector
 whose list is full of neighbours above the threshold is saturated; its list is
 enlarged to all that is reachable through threshold edges. Recall is audited
 against exact search for a sample of vectors, and rounds are added until it is
-reached. The edges above the threshold are the result.
+reached; where rounds no longer help, exact search follows. The edges above the threshold are the result.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ TREES = 6  #: hyperplane tables of a round
 LEAF = 96  #: vectors wanted in a bucket
 SAMPLE = 400  #: vectors, about, whose recall is audited
 RECALL = 0.98  #: below it another round follows
-ROUNDS = 4  #: at most
+ROUNDS = 4  #: after so many, more follow only while they add to the recall; else exact search
+LEAST_GAIN = 0.01  #: of recall, by a round after ROUNDS
+CHANGED = 0.001  #: share of the list entries; descent goes on while a join changes more
+LEAST_PAIRS = 200  #: that an audit rests on, if there are so many
+MOST_SAMPLE = 1 << 14  #: vectors audited, or searched exactly, at once
 BLOCK = 1024  #: rows multiplied at once
 
 _EDGE = "id long, nbr long, sim float"
@@ -231,27 +237,62 @@ def _enlarge(vec: DataFrame, graph: DataFrame, k: int, threshold: float) -> Data
     return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_within(threshold), _EDGE)
 
 
-def audit(vec: DataFrame, edges: DataFrame, threshold: float, sample: int = SAMPLE) -> float:
-    """Share of the pairs that exact search finds for about ``sample`` vectors, chosen by a hash of their id, that ``edges`` has. 1 if there are none."""
-    n = max(1, vec.count())
-    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n)) + 1
-    got = vec.where(part).collect()
-    ids = np.array([r[0] for r in got], np.int64)
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.float32)
+def _near(vec: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[DataFrame, Broadcast]:
+    """Exact pairs of the vectors given with all of ``vec``, by blocks of BLOCK rows, and the broadcast that they need."""
+    shared = vec.sparkSession.sparkContext.broadcast((ids, x))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
         for b in batches:
             y = _matrix(b.column(1))
-            if len(y) and len(x):
+            if len(y):
                 other = b.column(0).to_numpy()
-                s = x @ y.T
-                i, j = np.nonzero((s >= threshold) & (ids[:, None] != other[None, :]))
-                yield from _edges(ids[i], other[j], s[i, j])
+                for a in range(0, len(ids), BLOCK):
+                    s = x[a : a + BLOCK] @ y.T
+                    i, j = np.nonzero((s >= threshold) & (ids[a : a + BLOCK, None] != other[None, :]))
+                    yield from _edges(ids[a + i], other[j], s[i, j])
+
+    return vec.mapInArrow(run, _EDGE), shared
+
+
+def _rows(got: list) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array([r[0] for r in got], np.int64)
+    return ids, np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.float32)
 
-    want = vec.mapInArrow(run, _EDGE).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+
+def audit(vec: DataFrame, edges: DataFrame, threshold: float, sample: int = SAMPLE) -> float | None:
+    """Share of the pairs that exact search finds for a sample of vectors, chosen by a hash of their id, that ``edges`` has.
+
+    The sample, about ``sample`` vectors at first, grows until it has LEAST_PAIRS
+    pairs, is all vectors, or MOST_SAMPLE. None if it is only part of the vectors
+    and has too few pairs then; 1 if all vectors have none.
+    """
+    total = max(1, vec.count())
     have = edges.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct().withColumn("hit", F.lit(1))
-    n, hit = want.join(have, ["a", "b"], "left").agg(F.count("*"), F.sum("hit")).first()
-    return (hit or 0) / n if n else 1.0
+    while True:
+        every = total <= sample
+        part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / total)) + 1
+        pairs, shared = _near(vec, *_rows(vec.where(part).collect()), threshold)
+        want = pairs.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+        n, hit = want.join(have, ["a", "b"], "left").agg(F.count("*"), F.sum("hit")).first()
+        shared.unpersist()
+        if every or n >= LEAST_PAIRS:
+            return (hit or 0) / n if n else 1.0
+        if sample >= MOST_SAMPLE:
+            return None
+        sample = min(MOST_SAMPLE, 8 * sample)
+
+
+def exact(vec: DataFrame, threshold: float) -> DataFrame:
+    """All edges (id, nbr, sim), id < nbr, by blocks of MOST_SAMPLE vectors against all; the work is quadratic, nothing is shuffled."""
+    rows = vec.toLocalIterator()
+    out = None
+    while got := list(itertools.islice(rows, MOST_SAMPLE)):
+        pairs, shared = _near(vec, *_rows(got), threshold)
+        pairs = materialize(pairs.where("id < nbr"), "exact")
+        shared.unpersist()
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def neighbours(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -260,7 +301,8 @@ def neighbours(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, rec
     Null ids, null or zero vectors, and those with a null or a number that isn't
     finite have no pairs; an id in several rows is one vector, the greatest. The
     search is approximate; rounds with other hyperplanes follow until the
-    audited recall is at least ``recall``, at most ROUNDS. Equal vectors have
+    audited recall is at least ``recall``; where they don't reach it, or too few
+    pairs are found to audit, the search is exact in the end. Equal vectors have
     cosine 1, rounded to 5 places. Vectors must be of one length. Other columns
     are ignored. An empty table gives no pairs.
     """
@@ -270,28 +312,33 @@ def neighbours(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, rec
     n = vec.count()
     parts = partitions(spark)
     bits = max(1, min(40, round(math.log2(max(2, n / LEAF)))))
-    graph = None
-    for turn in range(ROUNDS):
+    graph, reached = None, 0.0
+    for turn in itertools.count():
         start = vec.mapInArrow(_buckets(TREES, bits, 1000 + turn), "bucket long, id long, v binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
         start = start.mapInArrow(_leaves(k, turn), _EDGE)
         graph = start if graph is None else graph.unionByName(start)
         graph = materialize(graph.repartition(parts, "id").mapInArrow(_best(k), _EDGE), "graph")
-        for _ in range(2):
+        while True:
             worst = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
             known = vec.join(worst, "id", "left").select("id", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "v")
             point = graph.select(F.col("nbr").alias("at"), "id").unionByName(graph.select(F.col("id").alias("at"), F.col("nbr").alias("id"))).distinct()
             rows = point.join(known, "id").select("at", "id", "worst", "v")
             found = rows.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_join, _EDGE)
             new = materialize(graph.unionByName(found).repartition(parts, "id").mapInArrow(_best(k), _EDGE), "graph")
-            gained = not new.join(graph.select("id", "nbr"), ["id", "nbr"], "left_anti").where(F.col("sim") >= threshold).isEmpty()
+            changed = new.join(graph.select("id", "nbr"), ["id", "nbr"], "left_anti").count()
             release(graph)
             graph = new
             free_shuffles(spark)
-            if not gained:
+            if changed <= CHANGED * k * n:
                 break
         more = _enlarge(vec, graph, k, threshold)
         edges = graph.where(F.col("sim") >= threshold).unionByName(more.where(F.col("sim") >= threshold))
         edges = materialize(edges.groupBy(F.least("id", "nbr").alias("id"), F.greatest("id", "nbr").alias("nbr")).agg(F.max("sim").alias("sim")), "edges")
-        if audit(vec, edges, threshold) >= recall:
+        share = audit(vec, edges, threshold)
+        if share is not None and share >= recall:
+            break
+        if turn + 1 >= ROUNDS and (share is None or share < reached + LEAST_GAIN):
+            edges = exact(vec, threshold)
             break
+        reached = max(reached, share or 0.0)
     return edges.select(F.col("id").alias("vec_a"), F.col("nbr").alias("vec_b"), F.round(F.col("sim").cast("double"), 5).alias("cosine"))

@@ -177,6 +177,27 @@ def test_neighbours_as_brute_force(spark):
     assert all(min(abs(np.dot(x[a], x[b]) / np.linalg.norm(x[a]) / np.linalg.norm(x[b])), 1) > 0.8999 for a, b in got)
 
 
+def test_neighbours_where_rounds_do_not_help(spark, monkeypatch):
+    for name, x in (("ROUNDS", 1), ("TREES", 1), ("LEAF", 0.01), ("LEAST_GAIN", 1.0)):
+        monkeypatch.setattr(nn_descent, name, x, raising=False)
+    r = np.random.default_rng(4)
+    base = r.standard_normal((200, 32))
+    x = np.concatenate([base, base + 0.3 * r.standard_normal((200, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = _close(x, 0.9)
+    got = {(y.vec_a, y.vec_b) for y in nn_descent.neighbours(df, k=1).collect()}
+    assert len(want) > 100 and len(got & want) >= 0.98 * len(want)
+
+
+def test_audit_needs_pairs(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((1500, 32))
+    x[1] = x[0]
+    vec = nn_descent.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    edges = spark.createDataFrame([], "id long, nbr long, sim float")
+    assert nn_descent.audit(vec, edges, 0.9, sample=20) == 0.0
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.0, 2.0]), (7, [2.0, 0.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
