@@ -31,6 +31,9 @@ _NAME = re.compile(r"<(/?[a-zA-Z][\w:-]*)")
 _CLASS = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""", re.I)
 #: Tags that hold others; a text belongs to the innermost of them that is open.
 CONTAINERS = {"html", "head", "title", "body", "nav", "header", "footer", "main", "article", "section", "aside", "div", "ul", "ol", "table", "td", "th", "form", "figure", "blockquote", "pre"}
+#: Parts of a page, and containers that only give text a form.
+PARTS = {"article", "main", "nav", "header", "footer", "aside"}
+FORMS = {"ul", "ol", "table", "td", "th", "figure", "blockquote", "pre"}
 TEXT = "#"
 
 
@@ -195,8 +198,8 @@ def _written(key, slot: int, fixed: dict[int, str]) -> str:
     return f"({''.join(out)})+"
 
 
-def _containers(keys: list) -> list[str]:
-    """For each slot of a key list the innermost open container."""
+def _containers(keys: list) -> list[tuple[str, ...]]:
+    """For each slot of a key list the containers that are open, outermost first."""
     out, stack = [], ["html"]
 
     def walk(k) -> None:
@@ -204,7 +207,7 @@ def _containers(keys: list) -> list[str]:
             for x in k[1]:
                 walk(x)
         elif k == TEXT:
-            out.append(stack[-1])
+            out.append(tuple(stack))
         else:
             name = k.lstrip("/").split(".")[0]
             if name in CONTAINERS:
@@ -221,6 +224,16 @@ def _containers(keys: list) -> list[str]:
     return out
 
 
+def _anchor(path: tuple[str, ...]) -> str:
+    """The container that a text counts for: the innermost part of a page, else the innermost that isn't only a form of text."""
+    names = [c.split(".")[0] for c in path]
+    for kind in (PARTS, CONTAINERS - FORMS):
+        for c, name in zip(reversed(path), reversed(names)):
+            if name in kind:
+                return c
+    return path[0]
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL; empty if there is none or the URL is null."""
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -310,9 +323,7 @@ def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = sum(by[s][0] for s in names)
         value: dict[int, set] = defaultdict(set)
         seen: dict[int, int] = defaultdict(int)
-        mass: dict[str, int] = defaultdict(int)
         place: dict[str, list[int]] = {}
-        inside = _containers(w.keys)
         for i, s in enumerate(names):
             n, h, same, size = by[s]
             to = [w.first[c] + q for c in w.at[i] for q in range(slots_of(w.keys[c]))]
@@ -321,15 +332,25 @@ def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for q, slot in enumerate(to):
                 value[slot].add(h[q] if same[q] else None)
                 seen[slot] += n
-                mass[inside[slot]] += size[q]
         template = [s for s in value if len(value[s]) == 1 and None not in value[s] and seen[s] > 1]
-        for slot in template:
-            for i, s in enumerate(names):
-                for q, x in enumerate(place[s]):
-                    if x == slot:
-                        mass[inside[slot]] -= by[s][3][q]
-        main = min(mass, key=lambda c: (-mass[c], c)) if mass else ""
-        content = [s for s in range(w.slots) if inside[s] == main and s not in set(template)]
+        # Streams with the same containers of varying text are a layout; its content is in the container with most of it.
+        known = set(template)
+        paths = [_containers(o[0]) for o in opened]
+        masses: list[dict[str, int]] = []
+        layouts: dict[frozenset, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for i, s in enumerate(names):
+            mass: dict[str, int] = defaultdict(int)
+            for q, slot in enumerate(place[s]):
+                if slot not in known:
+                    mass[_anchor(paths[i][opened[i][1][q]])] += by[s][3][q]
+            masses.append(mass)
+            for c, m in mass.items():
+                layouts[frozenset(mass)][c] += m
+        content: dict[str, list[int]] = {}
+        for i, s in enumerate(names):
+            mass = layouts[frozenset(masses[i])]
+            main = min(mass, key=lambda c: (-mass[c], c)) if mass else ""
+            content[s] = sorted({slot for q, slot in enumerate(place[s]) if slot not in known and main in paths[i][opened[i][1][q]]})
         doc = {"expression": w.expression(), "template": sorted(template), "content": content}
         yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(doc)]), pa.array([pages], pa.int64()), pa.array([json.dumps(place)])], ["host", "wrapper", "pages", "streams"])
 
@@ -363,7 +384,7 @@ def _opened(keys: list, repeats: dict) -> tuple[list, list[int]]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages, streams): each host's wrapper (JSON: its expression, template slots, content slots) and where each stream's slots lie in it.
+    """(host, wrapper, pages, streams): each host's wrapper (JSON: its expression, template slots, content slots by stream) and where each stream's slots lie in it.
 
     ``pages`` needs url and html. All pages of a host take part. Where a stream
     has one of a group that another repeats, both are the repeated group.
@@ -391,7 +412,7 @@ def _fill(look):
                         known.clear()
                     w, s = look(host) if look else (extra[0][k], extra[1][k])
                     w = json.loads(w)
-                    known[host] = (set(w["content"]), set(w["template"]), json.loads(s))
+                    known[host] = ({n: set(c) for n, c in w["content"].items()}, set(w["template"]), json.loads(s))
                 content, template, place = known[host]
                 if page is None:
                     rows.append((page_id, host, [], None))
@@ -404,7 +425,7 @@ def _fill(look):
                         at[i] = place[name][q + s]
                     q += n
                 got = [(at[i], html.unescape(texts[i])) for i in sorted(at)]
-                rows.append((page_id, host, [{"slot": s, "text": t} for s, t in got if s not in template], "\n".join(t for s, t in got if s in content)))
+                rows.append((page_id, host, [{"slot": s, "text": t} for s, t in got if s not in template], "\n".join(t for s, t in got if s in content[name])))
             for i in range(0, len(rows), 200):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 200]), types)], ["page_id", "host", "fields", "content"])
 
@@ -412,7 +433,7 @@ def _fill(look):
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, host, fields, content) for each row of ``pages``: the texts by slot of the host's wrapper, in order, and those of its content container, a line each.
+    """(page_id, host, fields, content) for each row of ``pages``: the texts by slot of the host's wrapper, in order, and those of its layout's content container and all within it, a line each.
 
     ``pages`` needs page_id, url and html. Template texts (the same in every page
     of a host with several) aren't given; a host of one page has none. A null

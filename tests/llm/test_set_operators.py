@@ -222,6 +222,16 @@ def test_wrapper_of_a_host(spark):
         assert not any(f.text in ("Home", "News", "All rights reserved") for f in r.fields)
 
 
+def test_content_is_a_subtree_of_each_layout(spark):
+    top = "<html><body><nav><a>Home</a></nav>"
+    rows = [(k, f"http://a.example/{k}", f"{top}<article class=story><h1>Head {k}</h1><p>Long text of page {k}</p><ul><li>One {k}</li></ul><blockquote>Said {k}</blockquote><div><table><tr><td>Cell {k}</td></tr></table></div><pre>Code {k}</pre></article></body></html>") for k in range(6)]
+    rows += [(k, f"http://a.example/{k}", f"{top}<div class=product><b>Name {k}</b><ul><li>Size {k}</li></ul></div></body></html>") for k in range(6, 9)]
+    for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id
+        want = [f"Head {k}", f"Long text of page {k}", f"One {k}", f"Said {k}", f"Cell {k}", f"Code {k}"] if k < 6 else [f"Name {k}", f"Size {k}"]
+        assert r.content == "\n".join(want)
+
+
 def test_pages_keep_their_texts(spark):
     pages = table(spark, SF, "pages")
     rows = wrappers.extract(pages).collect()
