@@ -270,13 +270,13 @@ _PARTIAL = "host string, stream string, pages long, hashes array<long>, same arr
 
 
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and stream in a partition: pages, and of each slot a hash of its text, whether it is always that, and its characters."""
+    """For each host and stream in a partition: pages, and of each slot, and last of the page, a hash of its text and whether it is always that; the slots' characters."""
     streams, acc = _Streams(), {}
     for b in batches:
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             items, name, texts = streams.of(page or "")
             slots = _page_slots(items, texts)
-            h = [xxhash.xxh64_intdigest("\0".join(s)) - (1 << 63) for s in slots]
+            h = [xxhash.xxh64_intdigest("\0".join(s)) - (1 << 63) for s in [*slots, texts]]
             size = [sum(map(len, s)) for s in slots]
             a = acc.get((host, name))
             if a is None:
@@ -321,6 +321,10 @@ def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = [_opened(ks, repeats) for ks in keys]
         w = Wrapper([o[0] for o in opened], [by[s][0] for s in names])
         pages = sum(by[s][0] for s in names)
+        # Pages without text, and copies of one page, say nothing of the template.
+        filled = [s for s in names if by[s][3]]
+        whole = sum(by[s][0] for s in filled)
+        several = len(filled) > 1 or any(not by[s][2][-1] for s in filled)
         value: dict[int, set] = defaultdict(set)
         seen: dict[int, int] = defaultdict(int)
         place: dict[str, list[int]] = {}
@@ -331,8 +335,9 @@ def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place[s] = to
             for q, slot in enumerate(to):
                 value[slot].add(h[q] if same[q] else None)
+            for slot in set(to):
                 seen[slot] += n
-        template = [s for s in value if len(value[s]) == 1 and None not in value[s] and seen[s] > 1]
+        template = [s for s in value if several and len(value[s]) == 1 and None not in value[s] and seen[s] == whole]
         # Streams with the same containers of varying text are a layout; its content is in the container with most of it.
         known = set(template)
         paths = [_containers(o[0]) for o in opened]
@@ -436,7 +441,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, host, fields, content) for each row of ``pages``: the texts by slot of the host's wrapper, in order, and those of its layout's content container and all within it, a line each.
 
     ``pages`` needs page_id, url and html. Template texts (the same in every page
-    of a host with several) aren't given; a host of one page has none. A null
+    with text of a host with several distinct ones) aren't given; a host of one
+    page, or of copies of one, has none. A null
     html has no field and a null content, an empty one no field and an empty
     content. A null url or one without a host belongs to the host named by the
     empty string. Repeated rows give a row each; of containers with equal text

@@ -232,6 +232,18 @@ def test_content_is_a_subtree_of_each_layout(spark):
         assert r.content == "\n".join(want)
 
 
+def test_template_is_in_every_distinct_page(spark):
+    copies = [(k, "http://copy.example/", _page("One title", ["Only text of this page"])) for k in range(3)]
+    noted = [(10 + k, f"http://note.example/{k}", _page(f"Title {k}", [f"Text {k}"], "By the same author" if k in (1, 2) else None)) for k in range(6)]
+    empty = [(20, "http://note.example/e", ""), (21, "http://note.example/n", None)]
+    got = {r.page_id: r for r in wrappers.extract(spark.createDataFrame(copies + noted + empty, "page_id long, url string, html string")).collect()}
+    for k, _, _ in copies:
+        assert got[k].content == "One title\nOnly text of this page"
+        assert [f.text for f in got[k].fields] == ["Home", "News", "One title", "Only text of this page", "All rights reserved"]
+    for k in range(6):
+        assert [f.text for f in got[10 + k].fields] == [f"Title {k}", f"Text {k}", *(["By the same author"] if k in (1, 2) else [])]
+
+
 def test_pages_keep_their_texts(spark):
     pages = table(spark, SF, "pages")
     rows = wrappers.extract(pages).collect()
