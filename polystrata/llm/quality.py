@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from polystrata.llm.common import labelled, tune
 
 BLOCK = 2048  #: bytes compressed at once
 DICT_BYTES = 1 << 18
+PIECE = 64  #: bytes, about, of a piece of a long text in a dictionary
 LEVEL = 6
 PRIOR_BYTES = 100  #: a text counts as having so many bytes more, of the good texts' median difference: a few words show little
 TRAIN_ROWS = 3000  #: labelled rows of each class, about, that dictionaries and calibration are fitted on
@@ -65,18 +67,31 @@ def normalised(more: float, size: float, prior: float) -> float:
     return (more + PRIOR_BYTES * prior) / (size + PRIOR_BYTES)
 
 
+def _share(sizes: list[int]) -> int:
+    """The most bytes of each text with which all fit in DICT_BYTES."""
+    left = DICT_BYTES
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return DICT_BYTES
+
+
 def _dictionary(texts: list[str]) -> bytes:
-    """Raw content from all texts in turn: an even share of each text's blocks, the last the nearest to what is compressed."""
-    parts, size, seen = [], 0, set()
-    blocks = [[t.encode("utf-8", "surrogatepass")[i : i + 512] for i in range(0, len(t.encode("utf-8", "surrogatepass")), 512)] for t in texts]
-    depth = 0
-    while size < DICT_BYTES and any(len(b) > depth for b in blocks):
-        for b in blocks:
-            if len(b) > depth and b[depth] not in seen and size < DICT_BYTES:
-                seen.add(b[depth])
-                parts.append(b[depth])
-                size += len(b[depth])
-        depth += 1
+    """Raw content from all distinct texts, an even share of DICT_BYTES each: a whole text, or pieces of about PIECE bytes from equal parts of all of it, at hashed places."""
+    raw = list(dict.fromkeys(t.encode("utf-8", "surrogatepass") for t in texts))
+    share = _share([len(t) for t in raw])
+    parts = []
+    for t in raw:
+        if len(t) <= share:
+            parts.append(t)
+            continue
+        m = max(1, share // PIECE)
+        for j in range(m):
+            size = share * (j + 1) // m - share * j // m
+            begin, end = len(t) * j // m, len(t) * (j + 1) // m
+            at = begin + xxhash.xxh64_intdigest(t, j) % (end - begin - size + 1)
+            parts.append(t[at : at + size])
     return b"".join(reversed(parts))[-DICT_BYTES:]
 
 

@@ -65,6 +65,15 @@ def test_quality_of_held_out_labels(spark):
     assert np.mean([g >= m.threshold for g in good]) > 0.95
 
 
+def test_dictionary_has_all_of_every_text():
+    texts = [f"[{k:04d}]" * 700 + f"<{k:04d}>" * 700 for k in range(1500)]
+    d = quality._dictionary(texts).decode()
+    assert len(d) <= quality.DICT_BYTES
+    assert all(f"{k:04d}]" in d and f"{k:04d}>" in d for k in range(1500))
+    assert quality._dictionary(["short", "short", "a" * 10]) == b"a" * 10 + b"short"
+    assert len(quality._dictionary(["x" * 400_000, "y"])) == quality.DICT_BYTES
+
+
 def test_quality_of_odd_rows(spark, odd, none, labels, documents):
     m = quality.train(documents, table(spark, SF, "labels"))
     rows = quality.classify(odd, m).collect()
