@@ -116,8 +116,9 @@ def certified(gain: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
 
     ``gain`` (words x languages) is what each word would gain over the text's best
     language. A path that leaves that language has pieces of one other language;
-    k pieces in a row cost at least k switches. If no run of words gains more
-    than a switch in any language, no such path is better.
+    k pieces cost at least k - 1 switches, and a path of one piece gains nothing.
+    If no run of words gains more than half a switch in any language, k pieces
+    gain at most k / 2 switches, so that no path of two or more is better.
     """
     n = int(text[-1]) + 1
     ok = np.ones(n, bool)
@@ -131,7 +132,7 @@ def certified(gain: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
         low = np.minimum.accumulate(before - shift - step * text)
         run = (total - shift - step * text) - low
         worst = np.maximum.reduceat(run, first)
-        ok[text[first]] &= worst <= penalty + 1e-6
+        ok[text[first]] &= worst <= penalty / 2
     return ok
 
 

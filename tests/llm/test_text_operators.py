@@ -23,6 +23,18 @@ def test_viterbi_is_exact():
             assert cost(list(got)) == pytest.approx(best)
 
 
+def test_certified_texts_need_no_switch():
+    s = np.array([[10.0, -50, 0], [-50, 10, 0]])  # the third language is the best single one, the first two are better
+    assert not language_id.certified(s - s[:, 2:], np.zeros(2, np.int64), 12.0)[0]
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        s = r.standard_normal((5, 3)) * r.choice([1, 3, 6])
+        k = s.sum(0).argmax()
+        if language_id.certified(s - s[:, [k]], np.zeros(5, np.int64), 6.0)[0]:
+            p = language_id.viterbi(s, 6.0)
+            assert s[np.arange(5), p].sum() - 6.0 * (p[1:] != p[:-1]).sum() <= s[:, k].sum() + 1e-9
+
+
 def test_language_of_held_out_documents(spark):
     docs = table(spark, SF, "documents").where("length(text) > 200")
     got = language_id.identify(docs, language_id.train(docs, 60))
