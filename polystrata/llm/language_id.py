@@ -2,6 +2,11 @@
 languages, character trigrams score it, and a Viterbi path with a switching
 penalty labels the spans of mixed-language text.
 
+The candidates of a word are the languages whose training texts use its script,
+each by its own trigram scores, and the language that stands for the script where
+no text trains it. Any other language is ``FAR`` below the word's best one,
+whatever the texts beside it are.
+
 The path is exact. Most texts are in one language, for which a bound (see
 ``certified``) shows without running the recursion that no switch can pay.
 """
@@ -22,9 +27,11 @@ from polystrata.llm.common import alpha_table, code_points, lower_table, slices,
 BINS = 1 << 16
 PENALTY = 12.0  #: nats that a switch of language costs
 LEAST_WORDS_SHARE = 0.5  #: of the letters of an accepted text, the least share in words that fit their language
-TRAIN_ROWS = 400  #: labelled rows a language, at most in expectation, that the scores are fitted on
+TRAIN_ROWS = 400  #: labelled rows a language, at most in expectation, that the scores and the floor are fitted on
+FAR = 1000.0  #: nats by which a language that isn't a candidate of a word is below its best one
+OWN_SCRIPT = 0.05  #: of the letters of a language's training texts, the share from which a script is one that it is written in
 
-#: Scripts besides Latin with the language that stands for them, and their code point ranges.
+#: Scripts besides Latin with the language that stands for them where no trained language uses them, and their code point ranges.
 SCRIPTS: tuple[tuple[str, tuple[tuple[int, int], ...]], ...] = (
     ("ru", ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F))),
     ("el", ((0x370, 0x3FF), (0x1F00, 0x1FFF))),
@@ -38,16 +45,17 @@ SCRIPTS: tuple[tuple[str, tuple[tuple[int, int], ...]], ...] = (
     ("hy", ((0x530, 0x58F),)),
     ("ka", ((0x10A0, 0x10FF),)),
 )
-_FAR = np.float32(-60.0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log probability of each hashed trigram in each trained language, and the floor of a fitting word, a trigram."""
+    """Log probability of each hashed trigram in each trained language, the floor of a fitting word, a trigram, and which
+    languages may write a word of each script: the trained ones, then those that stand for a script."""
 
     langs: tuple[str, ...]
     logp: np.ndarray
     floor: float
+    may: np.ndarray
 
 
 @functools.cache
@@ -92,23 +100,41 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.05) -> Model:
     rows = [(a, t) for a, t in rows if a and t]
     langs = tuple(sorted({a for a, _ in rows})) or ("und",)
     counts = np.zeros((len(langs), BINS))
+    letters = np.zeros((len(langs), len(SCRIPTS) + 2))
     for k, lang in enumerate(langs):
         own = [t for a, t in rows if a == lang]
         for i, j in slices(own):
-            counts[k] += np.bincount(words_of(own[i:j])[4], minlength=BINS)
+            begin, end, kind, _, bins, _, _ = words_of(own[i:j])
+            counts[k] += np.bincount(bins, minlength=BINS)
+            letters[k] += np.bincount(kind, weights=end - begin, minlength=letters.shape[1])
     seen = max(1, int((counts.sum(0) > 0).sum()))
     logp = np.log((counts + alpha) / (counts.sum(1, keepdims=True) + alpha * seen))
     table = np.ascontiguousarray(logp.T.astype(np.float32))
     # A word fits when its mean score a trigram is above what nearly all training words reach.
     means = []
     for k, lang in enumerate(langs):
-        own = [t for a, t in rows if a == lang][:50]
+        own = [t for a, t in rows if a == lang]
         for i, j in slices(own):
             begin, end, kind, _, bins, first, _ = words_of(own[i:j])
             if len(begin):
                 means.append(np.add.reduceat(table[bins, k], first) / (end - begin))
     floor = float(np.quantile(np.concatenate(means), 0.002)) - 1.0 if means else -np.inf
-    return Model(langs, table, floor)
+    return Model(langs, table, floor, _candidates(langs, letters))
+
+
+def _candidates(langs: tuple[str, ...], letters: np.ndarray) -> np.ndarray:
+    """Scripts x (trained languages, languages that stand for a script): which may write a word of the script."""
+    may = np.zeros((len(SCRIPTS) + 2, len(langs) + len(SCRIPTS)), bool)
+    may[:, : len(langs)] = (letters >= OWN_SCRIPT * np.maximum(letters.sum(1, keepdims=True), 1)).T
+    may[1, : len(langs)] |= not may[1, : len(langs)].any()
+    for k, (name, _) in enumerate(SCRIPTS):
+        if name in langs:  # trained, if on another script
+            may[k + 2, langs.index(name)] |= not may[k + 2, : len(langs)].any()
+        else:
+            may[k + 2, len(langs) + k] = True
+    ja, zh = (2 + [s for s, _ in SCRIPTS].index(x) for x in ("ja", "zh"))
+    may[zh] |= may[ja]  # Han letters also write Japanese
+    return may
 
 
 def certified(gain: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
@@ -117,14 +143,16 @@ def certified(gain: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
     ``gain`` (words x languages) is what each word would gain over the text's best
     language. A path that leaves that language has pieces of one other language;
     k pieces cost at least k - 1 switches, and a path of one piece gains nothing.
-    If no run of words gains more than half a switch in any language, k pieces
-    gain at most k / 2 switches, so that no path of two or more is better.
+    If every run of words gains less than half a switch in any language, k pieces
+    gain less than k / 2 switches, so that no path of two or more is as good. What
+    a word loses counts up to one switch, which changes no such run and keeps the
+    sums exact to far less than the margin.
     """
     n = int(text[-1]) + 1
     ok = np.ones(n, bool)
     first = np.flatnonzero(np.diff(text, prepend=-1))
     for k in range(gain.shape[1]):
-        g = gain[:, k].astype(np.float64)
+        g = np.maximum(gain[:, k], -penalty)
         total = np.cumsum(g)
         before = total - g
         step = float(np.abs(g).sum()) + 1.0  # each text starts below all before it
@@ -132,7 +160,7 @@ def certified(gain: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarray:
         low = np.minimum.accumulate(before - shift - step * text)
         run = (total - shift - step * text) - low
         worst = np.maximum.reduceat(run, first)
-        ok[text[first]] &= worst <= penalty / 2
+        ok[text[first]] &= worst < penalty / 2 - 1e-3
     return ok
 
 
@@ -154,6 +182,27 @@ def viterbi(score: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(path[::-1], np.int64)
 
 
+def word_scores(model: Model, kind: np.ndarray, bins: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words x (trained languages, languages that stand for a script): the score of each word, by itself, in each of its candidates, and FAR below the best of them in all others.
+
+    A language that stands for a script without training texts scores as a word at the floor does.
+    """
+    lat = len(model.langs)
+    trained = np.add.reduceat(model.logp[bins], first, axis=0).astype(np.float64)
+    if model.may[1, :lat].all() and not (kind > 1).any():
+        return trained
+    score = np.full((len(kind), model.may.shape[1]), -np.inf)
+    score[:, :lat] = trained
+    w = np.flatnonzero(kind > 1)
+    score[w, lat:] = (model.floor if np.isfinite(model.floor) else 0.0) * size[w, None]
+    names = [s for s, _ in SCRIPTS]
+    han = w[kind[w] == 2 + names.index("zh")]
+    score[han, lat + names.index("ja")] -= 0.5 * size[han]
+    may = model.may[kind]
+    best = np.where(may, score, -np.inf).max(1, keepdims=True)
+    return np.where(may, score, best - FAR)
+
+
 def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[tuple]:
     """For each text (language or None, share of letters in it, share that fits, spans); a span is (begin, end, language), in characters."""
     begin, end, kind, text, bins, first, at = words_of(texts)
@@ -161,22 +210,8 @@ def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[tupl
     if not len(begin):
         return out
     names = [*model.langs, *(s for s, _ in SCRIPTS)]
-    lat = len(model.langs)
-    latin = np.add.reduceat(model.logp[bins], first, axis=0)
     size = end - begin
-    other = kind > 1
-    if other.any():
-        score = np.full((len(begin), len(names)), _FAR, np.float32)
-        score *= size[:, None]
-        score[~other, :lat] = latin[~other]
-        w = np.flatnonzero(other)
-        score[w, lat + kind[w].astype(np.int64) - 2] = 0
-        # Han letters also write Japanese.
-        han = w[kind[w] == 2 + [s for s, _ in SCRIPTS].index("zh")]
-        score[han, lat + [s for s, _ in SCRIPTS].index("ja")] = -0.5 * size[han]
-        score = np.maximum(score, _FAR * 4)
-    else:
-        score, names = latin, names[:lat]
+    score = word_scores(model, kind, bins, first, size)
     firsts = np.flatnonzero(np.diff(text, prepend=-1))
     own = text[firsts]
     best = np.add.reduceat(score, firsts, axis=0).argmax(1)
@@ -188,7 +223,7 @@ def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[tupl
         a, b = firsts[k], firsts[k] + runs[k]
         lang[a:b] = viterbi(score[a:b], penalty)
     chosen = score[np.arange(len(score)), lang]
-    fits = np.where(other, True, chosen / size >= model.floor)
+    fits = (lang >= len(model.langs)) | (chosen / size >= model.floor)
     good = np.add.reduceat(np.where(fits, size, 0), firsts)
     letters = np.add.reduceat(size, firsts)
     cut = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(dense, prepend=-1) != 0))
@@ -205,7 +240,7 @@ def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[tupl
         if j - i == 1:
             main, share = spans[0][2], 1.0
         else:
-            by = np.bincount(lang[cut[i:j]], weights=weight[i:j], minlength=len(names))
+            by = np.bincount(lang[cut[i:j]], weights=weight[i:j], minlength=score.shape[1])
             main, share = names[int(by.argmax())], float(by.max() / letters[k])
         out[t] = (main, share, float(good[k] / letters[k]), spans)
     return out
@@ -256,8 +291,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, least_fit:
     letters in words that fit the language labelled, whether the text is accepted, and the labelled spans.
 
     ``docs`` needs doc_id and text. A null, empty or letterless text has language
-    null and no span and isn't accepted. Equal texts get equal labels, repeated
-    rows a row each; ties between languages go to the first by name; spans are
+    null and no span and isn't accepted. A text's labels depend on it alone, so
+    that equal texts get equal labels, repeated rows a row each; ties between languages go to the first by name; spans are
     in characters of the whole text. Other columns are ignored. An empty table
     gives no rows.
     """
@@ -274,7 +309,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, least_fit:
 
 
 def keep_accepted(docs: DataFrame, model: Model, penalty: float = PENALTY, least_fit: float = LEAST_WORDS_SHARE) -> DataFrame:
-    """The rows of ``docs`` whose text is accepted, with all their columns; decided row by row, without a join."""
+    """The rows of ``docs`` whose text identify() accepts, with all their columns, whatever their names; decided row by row, without a join.
+
+    A null, empty or letterless text goes; a very long one is labelled whole;
+    repeated rows stay or go together. An empty table gives no rows.
+    """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -37,9 +37,80 @@ def test_certified_texts_need_no_switch():
 
 def test_language_of_held_out_documents(spark):
     docs = table(spark, SF, "documents").where("length(text) > 200")
-    got = language_id.identify(docs, language_id.train(docs, 60))
-    n, right = got.join(docs.select("doc_id", "lang"), "doc_id").selectExpr("count(*)", "sum(cast(language = lang AS int))").first()
-    assert n > 300 and right / n > 0.97
+    held = docs.where("doc_id % 2 = 1")
+    got = language_id.identify(held, language_id.train(docs.where("doc_id % 2 = 0"), 60))
+    n, right = got.join(held.select("doc_id", "lang"), "doc_id").selectExpr("count(*)", "sum(cast(language = lang AS int))").first()
+    assert n > 150 and right / n > 0.97
+
+
+LANGUAGES = {
+    "en": "the river and the stone in the garden of winter with letters that were morning",
+    "de": "der fluss und die steine im garten des winters mit briefen die am morgen waren",
+    "ru": "река и камни в саду зимы с письмами которые были утром на окне города",
+    "uk": "річка і каміння в саду зими з листами які були вранці на вікні міста",
+}
+
+
+def _languages(langs=("en", "de", "ru", "uk")):
+    r = random.Random(8)
+    rows = []
+    for lang in langs:
+        ws = LANGUAGES[lang].split()
+        rows += [(lang, " ".join(r.choice(ws) for _ in range(30))) for _ in range(40)]
+    return language_id.fit(rows)
+
+
+def test_labels_do_not_depend_on_other_texts():
+    r = random.Random(9)
+    pool = [w for t in LANGUAGES.values() for w in t.split()] + ["日本", "x" * 90, "qzjx" * 22, "12", "ελλάδα", "שלום", "é́", "ｆｕｌｌ"]
+    for m in (_languages(), _languages(("en", "de"))):
+        texts = [" ".join(r.choice(pool) for _ in range(r.randrange(0, 25))) for _ in range(150)] + [" ".join("".join(r.choice("zqxj") for _ in range(90)) for _ in range(5)), "река и камни", ""]
+        whole = language_id.label(texts, m)
+        assert whole == [language_id.label([t], m)[0] for t in texts]
+        assert whole[::-1] == language_id.label(texts[::-1], m)
+        junk = whole[150]
+        assert junk[0] is not None and junk[2] < language_id.LEAST_WORDS_SHARE
+
+
+def _brute_label(text, m, penalty):
+    """Spans by the recursion over all words, with plain loops."""
+    begin, end, kind, _, bins, first, _ = language_id.words_of([text])
+    score = np.concatenate([language_id.word_scores(m, kind[[w]], bins[first[w] : first[w] + end[w] - begin[w]], np.array([0]), (end - begin)[[w]])[:, : len(m.langs)] for w in range(len(begin))])
+    path = language_id.viterbi(score, penalty)
+    out = []
+    for b, e, k in zip(begin.tolist(), end.tolist(), path.tolist()):
+        if out and out[-1][2] == m.langs[k]:
+            out[-1] = (out[-1][0], e, m.langs[k])
+        else:
+            out.append((b, e, m.langs[k]))
+    return out
+
+
+def test_spans_as_by_the_recursion_over_all_words():
+    r = random.Random(10)
+    m = _languages()
+    n = 0
+    for _ in range(200):
+        text = " ".join(" ".join(r.choice(LANGUAGES[lang].split()) for _ in range(r.randrange(1, 9))) for lang in r.choices(list(LANGUAGES), k=r.randrange(1, 4)))
+        got = language_id.label([text], m)[0][3]
+        assert got == _brute_label(text, m, language_id.PENALTY)
+        n += len(got) > 1
+    assert n > 60
+
+
+def test_scripts_narrow_and_words_choose():
+    m = _languages()
+    assert [language_id.label([LANGUAGES[x]], m)[0][0] for x in LANGUAGES] == list(LANGUAGES)
+    untrained = _languages(("en", "uk"))
+    assert language_id.label([LANGUAGES["uk"]], untrained)[0][0] == "uk"
+    assert language_id.label(["日本語 テキスト"], untrained)[0][0] == "ja" and language_id.label(["中文文本"], untrained)[0][0] == "zh"
+    assert language_id.label([LANGUAGES["ru"]], _languages(("en",)))[0][0] == "ru"
+
+
+def test_floor_is_from_all_training_texts():
+    odd = [("en", "zxqv kjwq vvxz qqzj")] * 3
+    plain = [("en", LANGUAGES["en"])] * 60
+    assert language_id.fit(plain + odd).floor < language_id.fit(plain + plain[:3]).floor
 
 
 def test_mixed_text_has_spans(spark):
