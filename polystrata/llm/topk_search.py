@@ -27,6 +27,8 @@ from polystrata.llm.common import BROADCAST_LIMIT, free_shuffles, materialize, s
 
 K, K1, B = 10, 1.2, 0.75
 _EPS = 1e-9
+PLACES = 6  #: of a score
+_UNIT = 1.01 * 10.0**-PLACES  #: totals this near may be equal once rounded, and then the lower doc_id is first
 
 
 def _few(df: DataFrame, rows: int, width: int) -> DataFrame:
@@ -104,15 +106,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, ident: str = "item_i
     empty text too (of length 0). A document that shares no word with the query
     isn't found, so a query may have fewer than k rows, or none if it is null,
     empty or shares no word. Rows that repeat a doc_id are documents of their
-    own. Scores are rounded to 6 places; ties go to the lower doc_id, nulls
-    first. Other columns are ignored; empty tables give no rows.
+    own. Scores are rounded to PLACES places; ties of what is rounded go to the
+    lower doc_id, nulls first, so both cutoffs leave a unit of the last place.
+    The whole of a very long text counts, by its length. Other columns are
+    ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     tune(spark)
     qt = materialize(query_terms(queries, ident, text), "terms")
     n_terms = qt.select("term").distinct().count()
     few_terms = n_terms * 8 <= BROADCAST_LIMIT
-    terms = np.sort(np.array([r[0] for r in qt.select("term").distinct().collect()], np.int64).view(np.uint64)) if few_terms else None
+    terms = np.sort(qt.select("term").distinct().toArrow().column(0).to_numpy().view(np.uint64)) if few_terms else None  # 8 bytes each
     shared = _postings(terms)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = src.mapInArrow(shared, "term long, r long, doc_id long, tf int, dl int")
@@ -139,7 +143,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, ident: str = "item_i
     wq = Window.partitionBy("q").orderBy(F.desc("sum"))
     part = entry.groupBy("q", "r").agg(F.sum("s").alias("sum")).withColumn("rank", F.row_number().over(wq)).where(F.col("rank") == k).select("q", F.col("sum").alias("bound"))
     wm = Window.partitionBy("q").orderBy("most", "term")
-    level = tops.join(part, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    level = tops.join(part, "q", "left").withColumn("bound", F.greatest(F.coalesce("bound", F.lit(0.0)) - _UNIT, F.lit(0.0)))
     level = level.withColumns({"before": F.sum("most").over(wm) - F.col("most"), "left": F.count("*").over(Window.partitionBy("q")) - F.row_number().over(wm) + 1})
     level = level.withColumn("t", (F.col("bound") - F.col("before")) / F.col("left"))
     cut = level.groupBy("q").agg(F.min(F.when(F.col("t") <= F.col("most"), F.struct("before", "t"))["t"]).alias("t0"), F.max("most").alias("top"), F.max("bound").alias("bound"), F.collect_list("most").alias("mosts"))
@@ -157,7 +161,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, ident: str = "item_i
     second = low.withColumn("rank", F.row_number().over(wl)).where(F.col("rank") == k).select("q", F.col("low").alias("second"))
     n_q = max(1, cut.count())
     cand = low.join(_few(cut.join(second, "q", "left"), n_q, 64), "q")
-    cand = cand.where(F.expr(f"low + unseen - lists * t >= greatest(bound, coalesce(second, 0D)) - {_EPS!r} * (1 + bound)")).select("q", "r")
+    cand = cand.where(F.expr(f"low + unseen - lists * t >= greatest(bound, coalesce(second, 0D) - {_UNIT!r}) - {_EPS!r} * (1 + bound)")).select("q", "r")
     cand = materialize(cand, "candidates")
     free_shuffles(spark)
 
@@ -166,7 +170,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, ident: str = "item_i
     n_cand = cand.count()
     full = post.select("term", "r", "doc_id", "w").join(_few(rows, n_cand, 16), "r", "left_semi" if n_cand * 16 > BROADCAST_LIMIT else "inner")
     total = full.join(_few(cand, n_cand, 24), "r").join(lists, ["q", "term"])
-    total = total.groupBy("q", "r").agg(F.first("doc_id").alias("doc_id"), F.round(F.sum(F.expr("coef * w")), 6).alias("score"))
+    total = total.groupBy("q", "r").agg(F.first("doc_id").alias("doc_id"), F.round(F.sum(F.expr("coef * w")), PLACES).alias("score"))
     wr = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id", "r")
     return total.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= k).select(F.col("q").alias("query"), "rank", "doc_id", "score")
 
@@ -179,7 +183,7 @@ q AS (SELECT item_id AS q, term, count(*) AS qtf FROM (SELECT item_id, unnest(re
 p AS (SELECT r, doc_id, dl, term, count(*) AS tf FROM (SELECT r, doc_id, len(a) AS dl, unnest(a) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 t AS (SELECT q.q, p.r, any_value(p.doc_id) AS doc_id,
-             round(sum(qtf * ln(1 + (s.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {K1 + 1!r}::DOUBLE / (tf + {K1!r}::DOUBLE * ({1 - B!r}::DOUBLE + {B!r}::DOUBLE * dl / s.mean))), 6) AS score
+             round(sum(qtf * ln(1 + (s.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {K1 + 1!r}::DOUBLE / (tf + {K1!r}::DOUBLE * ({1 - B!r}::DOUBLE + {B!r}::DOUBLE * dl / s.mean))), {PLACES}) AS score
       FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY q.q, p.r)
 SELECT q AS query, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM t) WHERE rank <= {K}
 """

@@ -104,6 +104,21 @@ def test_top_k_as_brute_force(spark, odd, none, odd_rows):
     assert topk_search.search(odd, qs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_near_ties_of_rounded_scores(spark, monkeypatch, limit):
+    """Documents 0 and 5 are 4e-7 apart and equal once rounded, so the lower doc_id is first."""
+    if limit is not None:
+        monkeypatch.setattr(topk_search, "BROADCAST_LIMIT", limit)
+    size = {0: 501, 5: 500}
+    rows = [(i, "word" + " other" * (size.get(i, 600) - 1)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    qs = spark.createDataFrame([(1, "word")], "item_id long, text string")
+    got = topk_search.search(docs, qs, 1).collect()
+    assert [(r.doc_id, r["rank"]) for r in got] == [(0, 1)]
+    want = _bm25(rows, [(1, "word")], 3)[1]
+    assert [r.doc_id for r in sorted(topk_search.search(docs, qs, 3).collect(), key=lambda r: r["rank"])] == [i for i, _ in want]
+
+
 def test_mixture_of_odd_rows(spark, odd, none, labels, odd_rows):
     rows = mixing.mix(odd, labels).collect()
     assert len(rows) == len(odd_rows)
