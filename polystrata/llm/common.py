@@ -3,17 +3,14 @@ vectorised text decoding and connected components."""
 
 from __future__ import annotations
 
-import atexit
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polystrata.session import ship
+from polystrata.session import materialize, release, ship  # noqa: F401
 
 #: Bytes up to which a driver-built lookup may be broadcast; beyond it the
 #: operators join on the key instead.
@@ -36,45 +33,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-# --------------------------------------------------------------- shared storage
+# ------------------------------------------------------------------------ tables
 
 
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="polystrata-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or _own_dir()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; its folder is the cluster's to clean
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again: lineage
-    ends in files that outlive any executor. The files go when Python exits."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/polystrata-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Deletes the files behind a materialized table that nothing reads any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/polystrata-" in f:
-            _remove(df.sparkSession, f)
+def packed(docs: DataFrame, leave: tuple[str, ...] = ()) -> tuple[Column, list[Column]]:
+    """The columns of ``docs`` but ``leave`` as one struct, out of the way of the names that an operator uses, and what gives all of them again in their order."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    rest = [c for c in docs.columns if c not in leave]
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    row = F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(rest)]).alias(name)
+    return row, [F.col(quoted(c)) if c in leave else F.col(name).getField(f"c{rest.index(c)}").alias(c) for c in docs.columns]
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import BROADCAST_LIMIT, materialize
+from polystrata.llm.common import BROADCAST_LIMIT, materialize, packed
 
 SEED = 17
 TEMPER = 0.5  #: target shares are in proportion to a source's tokens to this power
 BUDGET = 0.6  #: tokens wanted, as a share of the tokens there are
 QUALITY = {1: 1.0, None: 0.5, 0: 0.1}  #: sampling weight of documents labelled good, not labelled, labelled bad
 BUCKET_ROWS = 8192  #: documents wanted in a bucket
+LABEL_BYTES, SOURCE_BYTES = 64, 256  #: of a row of labels or of sources, once broadcast
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -47,7 +48,7 @@ def with_keys(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame
     """
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__q")).where("__id IS NOT NULL")
     own = own.groupBy("__id").agg(F.min("__q").alias("__q"))
-    if labels.count() * 24 <= BROADCAST_LIMIT:
+    if labels.count() * LABEL_BYTES <= BROADCAST_LIMIT:
         own = F.broadcast(own)
     d = docs.join(own, F.col("doc_id").cast("long") == F.col("__id"), "left")
     src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
@@ -83,7 +84,8 @@ def plan(keyed: DataFrame, targets: dict[str | None, float] | None = None, budge
     # The first bucket that doesn't fit whole holds the cut; without one all documents fit.
     edge = sums.groupBy("__src").agg(F.min(F.when(F.col("__upto") > F.col("__rest"), F.col("__b"))).alias("__b"))
     edge = edge.join(sums.select("__src", "__b", (F.col("__upto") - F.col("__sum")).alias("__before")), ["__src", "__b"])
-    inner = placed.join(F.broadcast(edge), ["__src", "__b"])
+    edge = materialize(edge, "edges")
+    inner = placed.join(F.broadcast(edge) if edge.count() * SOURCE_BYTES <= BROADCAST_LIMIT else edge, ["__src", "__b"])
     wi = Window.partitionBy("__src").orderBy("__key", "__id")  # peers, that is rows that repeat a doc_id, go together
     fit = inner.withColumn("__cum", F.col("__before") + F.sum("__tokens").over(wi)).where("__cum <= __rest")
     last = fit.groupBy("__src").agg(F.max(F.struct("__key", "__id")).alias("__last"))
@@ -94,7 +96,7 @@ def plan(keyed: DataFrame, targets: dict[str | None, float] | None = None, budge
 
 def with_copies(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
     """``keyed`` with the number of copies of each row. There is one row of ``cuts`` a source; it is broadcast while they are few."""
-    few = cuts.count() * 128 <= BROADCAST_LIMIT
+    few = cuts.count() * SOURCE_BYTES <= BROADCAST_LIMIT
     d = keyed.join(F.broadcast(cuts) if few else cuts, "__src", "left")
     b = F.floor(F.col("__key") / (F.col("__key") + 1) * F.col("__buckets"))
     ident = F.col("doc_id").cast("string")
@@ -112,7 +114,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str | None, float] | N
     worse counts. Rows that repeat a doc_id within a source share a key and are
     taken or left together; equal keys are ordered by doc_id. A source without
     tokens has no epochs, and its rows fit in any rest. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. All of a very long text is counted.
     """
     keyed = with_keys(docs.select("doc_id", "text", "source"), labels, seed)
     out = with_copies(keyed, plan(keyed, targets, budget, temper))
@@ -120,13 +122,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str | None, float] | N
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str | None, float] | None = None, budget: float = BUDGET, temper: float = TEMPER, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as mix() says, with their columns, whatever their names."""
+    """The rows of ``docs``, each as often as mix() says, with their columns, whatever their names. Nulls, empty and very long texts, ties, repeated rows and an empty table are as in mix()."""
     own = ["doc_id", "text", "source"]
-    rest = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("__row")  # out of the way of names used here
+    rest, columns = packed(docs, tuple(own))
     keyed = with_keys(docs.select(*own, rest), labels, seed)
     out = with_copies(keyed, plan(keyed, targets, budget, temper)).where("copies > 0")
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return out.withColumn("__copy", again).select(*[F.col(c) if c in own else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return out.withColumn("__copy", again).select(*columns)
 
 
 #: The same copies in DuckDB SQL, with the parameters above.

@@ -14,13 +14,16 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import BROADCAST_LIMIT, materialize
+from polystrata.llm.common import materialize, packed
 
 CAPACITY = 262_144  #: tokens in a shard
-_LANES = 64  #: parts in which a size class is ranked, so that none is ranked in one task
+_LANES = 64  #: parts, at least, in which a size class is ranked, so that none is ranked in one task
+_LANE_ROWS = 1 << 17  #: groups wanted in a lane, if all were of one size
+_SPAN = 1 << 16  #: ranks of a size class that meet their runs at once
 
 
 class RoomTree:
@@ -117,29 +120,36 @@ def shard(docs: DataFrame, group: list, size, capacity: int = CAPACITY) -> DataF
     own; groups of size 0 are together in the shard with the least room. Equal
     groups of rows stay together, repeated rows too; ties in size are ordered by
     a hash of the group, then the group. Columns of ``docs`` may have any names
-    but shard and group_size. An empty table gives no rows.
+    but shard and group_size. An empty table gives no rows. Texts aren't read,
+    so a very long one is a row like any other.
 
     The driver holds one number a distinct size, at most capacity + the larger
-    ones; the runs are broadcast only while few, else joined on size.
+    ones, and the runs. Groups meet their runs by size and span of ranks: each
+    takes the last run that begins at its rank or before.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumns({"__g": F.md5(F.to_json(F.struct(*group), {"ignoreNullFields": "false"})), "__s": F.coalesce(size.cast("long"), F.lit(0))})
-    groups = keyed.groupBy("__g").agg(F.sum("__s").alias("group_size")).withColumn("__lane", F.pmod(F.xxhash64("__g"), F.lit(_LANES)))
-    groups = materialize(groups, "groups")
-    lanes = groups.groupBy("group_size", "__lane").agg(F.count("*").alias("__n"))
-    ws = Window.partitionBy("group_size").orderBy("__lane")
-    lanes = lanes.withColumn("__before", F.sum("__n").over(ws) - F.col("__n"))
-    classes = {r[0]: r[1] for r in groups.groupBy("group_size").count().collect()}
+    row, columns = packed(docs)
+    keyed = docs.select(row, F.md5(F.to_json(F.struct(*group), {"ignoreNullFields": "false"})).alias("g"), F.coalesce(size.cast("long"), F.lit(0)).alias("s"))
+    groups = materialize(keyed.groupBy("g").agg(F.sum("s").alias("size")), "groups")
+    by = groups.groupBy("size").agg(F.count("*").alias("n")).toArrow()
+    classes = dict(zip(by.column("size").to_pylist(), by.column("n").to_pylist()))
     runs, _ = pack(classes, capacity)
-    table = spark.createDataFrame([(r.size, r.first, r.count, r.each, r.bin) for r in runs], "__rs long, __first long, __count long, __each long, __bin long")
-    if len(runs) * 64 <= BROADCAST_LIMIT:
-        table = F.broadcast(table)
-    wl = Window.partitionBy("group_size", "__lane").orderBy("__g")
-    ranked = groups.withColumn("__rn", F.row_number().over(wl)).join(lanes.select("group_size", "__lane", "__before"), ["group_size", "__lane"])
-    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__rn") - 1)
-    placed = ranked.join(table, F.expr("group_size = __rs AND __rank >= __first AND __rank < __first + __count"))
-    placed = placed.select("__g", "group_size", (F.col("__bin") + F.expr("(__rank - __first) div __each")).alias("shard"))
-    return keyed.join(placed, "__g").select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "group_size")
+
+    n_lanes = max(_LANES, sum(classes.values()) // _LANE_ROWS)
+    groups = groups.withColumn("lane", F.pmod(F.xxhash64("g"), F.lit(n_lanes)))
+    lanes = groups.groupBy("size", "lane").agg(F.count("*").alias("n"))
+    lanes = lanes.select("size", "lane", (F.sum("n").over(Window.partitionBy("size").orderBy("lane")) - F.col("n")).alias("before"))
+    ranked = groups.withColumn("rn", F.row_number().over(Window.partitionBy("size", "lane").orderBy("g"))).join(lanes, ["size", "lane"])
+    ranked = ranked.select("size", "g", (F.col("before") + F.col("rn") - 1).alias("rank"))
+
+    table = spark.createDataFrame(pa.table({c: pa.array([getattr(r, c) for r in runs], pa.int64()) for c in ("size", "first", "count", "each", "bin")}))
+    own = F.struct("first", "each", "bin").alias("run")
+    table = table.select("size", own, F.explode(F.expr(f"sequence(first div {_SPAN}, (first + count - 1) div {_SPAN})")).alias("span"), "first")
+    starts = table.select("size", "span", F.greatest("first", F.col("span") * _SPAN).alias("rank"), F.lit(None).cast("string").alias("g"), "run")
+    both = ranked.select("size", F.expr(f"rank div {_SPAN}").alias("span"), "rank", "g", F.lit(None).cast(starts.schema["run"].dataType).alias("run")).unionByName(starts)
+    last = F.last("run", ignorenulls=True).over(Window.partitionBy("size", "span").orderBy("rank", F.col("g").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("run", last).where("g IS NOT NULL").select("g", F.col("size").alias("group_size"), F.expr("run.bin + (rank - run.first) div run.each").alias("shard"))
+    return keyed.join(placed, "g").select(*columns, "shard", "group_size")
 
 
 def brute_pack(sizes: list[int], capacity: int) -> list[int]:

@@ -175,6 +175,54 @@ def test_shards_of_odd_rows(spark, odd, none, odd_rows):
     assert sharding.shard(none, ["text"], F.col("n_chars")).count() == 0
 
 
+@pytest.mark.parametrize(("capacity", "span"), [(40, 1), (40, 7), (300, 1 << 16)])
+def test_shards_as_packed_one_by_one(spark, monkeypatch, capacity, span):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "_SPAN", span)
+    monkeypatch.setattr(sharding, "_LANES", 3)
+    r = random.Random(capacity + span)
+    size = [min(400, int(r.lognormvariate(2, 1))) if k % 3 else 5 for k in range(700)]
+    rows = [(k, k % 2, s // 2 if part else s - s // 2, -1, "s", "r") for k, s in enumerate(size) for part in (0, 1)]
+    df = spark.createDataFrame(rows, "g long, half int, s long, shard_ int, `a.b` string, `__row` string").repartition(5)
+    got = sharding.shard(df, ["g"], F.col("s"), capacity).collect()
+    assert len(got) == len(rows) and {(x.g, x["s"], x["a.b"], x["__row"], x.group_size) for x in got} == {(k, s, "s", "r", size[k]) for k, _, s, *_ in rows}
+    of = {x.g: x.shard for x in got}
+    assert all(of[x.g] == x.shard for x in got)
+    mine, want = {}, {}
+    for g, s in of.items():
+        mine.setdefault(s, []).append(size[g])
+    order = sorted(size, reverse=True)
+    for b, s in zip(sharding.brute_pack(order, capacity), order):
+        want.setdefault(b, []).append(s)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_columns_of_any_name(spark, labels):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, f"one two three four five {k // 2}", "s", 7, 8, 9, 10) for k in range(6)], "doc_id long, text string, source string, __g int, __s int, __drop int, `x.y` int")
+    for out in (sharding.shard(df, ["text"], F.col("doc_id")).drop("shard", "group_size"), ngram_join.drop_near_copies(df), mixing.mixed(df, labels, budget=1.0)):
+        assert out.columns == df.columns
+        assert {(r["__g"], r["__s"], r["__drop"], r["x.y"]) for r in out.collect()} == {(7, 8, 9, 10)}
+
+
+def test_joins_in_place_of_broadcasts(spark, monkeypatch, odd, labels):
+    asked = spark.createDataFrame([(1, "river stone winter"), (2, "one two")], "item_id long, text string")
+    pages = table(spark, SF, "pages")
+    of = {
+        "search": lambda: topk_search.search(odd, asked),
+        "mixed": lambda: mixing.mixed(odd, labels),
+        "near": lambda: ngram_join.drop_near_copies(odd),
+        "pairs": lambda: ngram_join.jaccard_pairs(odd),
+        "pages": lambda: wrappers.extract(pages),
+    }
+    few = {k: sorted(map(repr, f().collect())) for k, f in of.items()}
+    for m in (topk_search, mixing, ngram_join, wrappers):
+        monkeypatch.setattr(m, "BROADCAST_LIMIT", 0)
+    assert {k: sorted(map(repr, f().collect())) for k, f in of.items()} == few
+
+
 def _close(x, threshold):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.triu(x @ x.T, 1)
