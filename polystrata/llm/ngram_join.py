@@ -1,13 +1,18 @@
 """N-gram Jaccard join: a blocked sparse matrix product of documents by n-grams.
 
-The incidence matrix (documents x word n-grams) is cut into column blocks by
-n-gram hash. A column block finds each n-gram's document frequency and drops
-those in a single document. A document's row then knows how many of its n-grams
-any other document can share; rows that can't reach the bound are discarded,
-and the rest keep a prefix of their rarest shared n-grams. Rows that meet in a
-prefix column and whose sizes allow the threshold fall in one component, and
-only inside components are row blocks multiplied, which accumulates exact
-overlap counts. Pairs below the size-derived bound are never given.
+Equal texts are one class, for which its least doc_id stands. The incidence
+matrix (representatives x word n-grams) is cut into column blocks by n-gram
+hash. A column block finds each n-gram's document frequency and drops those in a
+single document. A row then knows how many of its n-grams any other can share;
+rows that can't reach the bound are discarded, and the rest keep a prefix of
+their rarest shared n-grams, one of which both documents of a pair must have.
+
+Columns of few rows give candidate pairs, whose counts of shared prefix columns
+are added up; what can't reach the bound that the sizes set is discarded before
+any full row is read. Rows of columns with many are put in blocks, each with
+those that share a column with the same least row, and two blocks are multiplied
+if they meet in a column, but only their rows that do. Nothing is closed
+transitively, so chains of documents cost no more than their links.
 """
 
 from __future__ import annotations
@@ -20,9 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import connected_components, free_shuffles, materialize, ngram_hashes, partitions, release, slices, tune
+from polystrata.llm.common import BROADCAST_LIMIT, connected_components, free_shuffles, materialize, ngram_hashes, packed, partitions, release, slices, tune
 
 N, THRESHOLD = 3, 0.5
+COLD = 24  #: rows of a prefix column up to which its pairs are candidates
+BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20  #: of a row block, about
+COLUMN_GRAMS = 1 << 22  #: n-grams wanted in a column block, about
+ROW_BYTES = 128  #: of a row of two keys, once broadcast
 _HOT = 255  #: document frequencies are told apart up to here; order beyond is by hash
 _MARK = np.uint64(0xFFFF)
 _LOW = np.uint64(16)
@@ -67,7 +76,7 @@ def _incidence(n: int, blocks: int, most: int):
             yield _batch(rows[i : i + 64])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, keys, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, keys, size = TaskContext.get().partitionId() << 14, [], [], 0
         for b in batches:
             doc, text = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in slices(text):
@@ -118,8 +127,8 @@ def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(threshold: float):
-    """Row block: discards rows that can't reach the bound; the rest give the rarest of their shared n-grams as prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary())])
+    """Row block: discards rows that can't reach the bound; the rest give the rarest of their shared n-grams as prefix, and the last of them in that order."""
+    schema = pa.schema([("r", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc: dict[int, bytes] = {}
@@ -147,22 +156,83 @@ def _rows(threshold: float):
             if not len(k):
                 continue
             order = np.lexsort((k, df, row))
-            h, row = (k[order] >> _LOW).astype(np.int64), row[order]
+            h, row, df = (k[order] >> _LOW).astype(np.int64), row[order], df[order].astype(np.int64)
             begin = np.flatnonzero(np.diff(row, prepend=-1))
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, j in zip(begin, np.append(begin[1:], len(h))):
                 r = row[i]
-                for c, x in zip(out, (ids[r], size[r], h[i : i + min(j - i, prefix[r])], np.sort(h[i:j]).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())):
+                e = i + min(j - i, prefix[r])
+                for c, x in zip(out, ((batch << 16) + int(r), ids[r], size[r], (df[e - 1] << 48) + h[e - 1], h[i:e], np.sort(h[i:j]).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())):
                     c.append(x)
                 if len(out[0]) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
-                    out = ([], [], [], [])
+                    out = ([], [], [], [], [], [])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return run
 
 
+def needed(t: float, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The least overlap of sets of ``na`` and ``nb`` with a similarity of ``t``."""
+    return np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
+
+
+def _meet(t: float):
+    """Pairs of rows in each column whose sizes allow the threshold, and how many prefix columns they must share.
+
+    Of a pair, all that both have and that isn't in both prefixes is after the
+    prefix that ends first in the common order.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(0)
+            off = rows.offsets.to_numpy()
+            flat = rows.flatten()
+            r, n, last = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("r", "n", "last"))
+            end = np.repeat(off[1:] - off[0], np.diff(off))
+            at = np.arange(len(r))
+            after = np.ceil(t * n - 1e-9).astype(np.int64) - 1
+            for k in range(1, int(np.diff(off).max(initial=0))):
+                i = np.flatnonzero(at + k < end)
+                j = i + k
+                ok = np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9
+                i, j = i[ok], j[ok]
+                need = needed(t, n[i], n[j]) - np.where(last[i] <= last[j], after[i], after[j])
+                for x in range(0, len(i), 200_000):
+                    p, q = r[i[x : x + 200_000]], r[j[x : x + 200_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(need[x : x + 200_000].astype(np.int32))], ["a", "b", "need"])
+
+    return run
+
+
+_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
+
+
+def _grams(x: bytes) -> np.ndarray:
+    a = np.zeros((len(x) // 6, 8), np.uint8)
+    a[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return a.view("<i8").ravel()
+
+
+def _verify(t: float):
+    """Exact overlaps of candidate pairs. Columns: two doc_ids, two sizes, two rows' n-grams."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            da, db, na, nb = (b.column(c).to_numpy() for c in range(4))
+            o = np.zeros(len(da), np.int64)
+            for k, (x, y) in enumerate(zip(b.column(4), b.column(5))):
+                z = np.sort(np.concatenate([_grams(x.as_py()), _grams(y.as_py())]), kind="stable")
+                o[k] = np.count_nonzero(z[1:] == z[:-1])
+            jac = o / np.maximum(na + nb - o, 1)
+            ok = (jac >= t - 1e-12) & (da != db)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (np.minimum(da, db), np.maximum(da, db), o, jac)], schema=_PAIRS)
+
+    return run
+
+
 def overlaps(rows: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
     """Rows x rows counts of shared columns: frequent columns by dense slabs, the others by shifts within a column."""
     m = len(rows)
@@ -195,37 +265,31 @@ def overlaps(rows: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
 
 
 def _multiply(threshold: float):
-    """Multiplies row blocks: rows come sorted by block, and both sides of a block pair together."""
-    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
-
-    def grams(x: bytes) -> np.ndarray:
-        a = np.zeros((len(x) // 6, 8), np.uint8)
-        a[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        return a.view("<i8").ravel()
+    """Multiplies row blocks: rows come sorted by block pair. Columns: b1, b2, doc_id, n, the row's own block, n-grams."""
 
     def product(key: tuple, got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, c1, c2 = key
-        ids, n, chunk = (np.array(x, np.int64) for x in zip(*[g[:3] for g in got]))
-        o = overlaps([grams(g[3]) for g in got])
+        ids, n, own = (np.array(x, np.int64) for x in zip(*[g[:3] for g in got]))
+        o = overlaps([_grams(g[3]) for g in got])
         i, j = np.nonzero(o)
-        if c1 != c2:
-            i, j = (x[chunk[i] != chunk[j]] for x in (i, j)) if len(i) else (i, j)
+        if key[0] != key[1]:
+            cross = own[i] != own[j]
+            i, j = i[cross], j[cross]
         o = o[i, j]
         jac = o / np.maximum(n[i] + n[j] - o, 1)
         ok = (jac >= threshold - 1e-12) & (ids[i] != ids[j])
         i, j, o, jac = i[ok], j[ok], o[ok], jac[ok]
         lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         for s in range(0, len(lo), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (lo, hi, o, jac)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (lo, hi, o, jac)], schema=_PAIRS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, got = None, []
         for b in batches:
-            for comp, c1, c2, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                if (comp, c1, c2) != key:
+            for b1, b2, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                if (b1, b2) != key:
                     if len(got) > 1:
                         yield from product(key, got)
-                    key, got = (comp, c1, c2), []
+                    key, got = (b1, b2), []
                 got.append(tuple(rest))
         if len(got) > 1:
             yield from product(key, got)
@@ -233,72 +297,122 @@ def _multiply(threshold: float):
     return run
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, batch_grams: int = 1 << 20, block_rows: int = 512) -> DataFrame:
-    """All pairs of documents whose word n-gram sets have a Jaccard similarity of at least ``threshold``.
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_LIMIT else df
+
+
+def _classes(src: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(representatives with their text, (doc_a, doc_b) of every other document of a class with its representative, characters of the representatives).
+
+    ``src`` is (doc_id, text, m), m a digest of the text. Texts are moved only
+    for rows that repeat a representative, unless there are too many other
+    members to broadcast.
+    """
+    rows = materialize(src.groupBy("m", "doc_id").agg(F.count("*").alias("c"), F.max(F.length("text")).alias("chars")), "texts")
+    by = rows.groupBy("m").agg(F.min("doc_id").alias("rep"), F.sum("c").alias("all"), F.max("chars").alias("chars"))
+    chars = by.agg(F.sum("chars")).first()[0] or 0
+    many = materialize(rows.join(by.where(F.col("all") > 1).select("m", "rep"), "m").select("m", "doc_id", "rep", "c"), "copies")
+    members = many.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    left = many.where("doc_id <> rep OR c > 1").select("m", "doc_id")
+    few = _few(left)
+    single = src.join(few, ["m", "doc_id"], "left_anti")
+    if few is left:
+        single = single.sortWithinPartitions("m", "doc_id")  # a task that is run again must give the same batches
+    again = many.where("doc_id = rep AND c > 1").select("m", "doc_id")
+    repeated = src.join(_few(again), ["m", "doc_id"], "left_semi").groupBy("doc_id", "m").agg(F.first("text").alias("text")).sortWithinPartitions("m", "doc_id")
+    return single.select("doc_id", "text").unionByName(repeated.select("doc_id", "text")), members, chars
+
+
+def _blocks(hot: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(r, n, block): rows that share a column with the same least row, and are of like size, in blocks of about ``block_rows`` rows or BLOCK_GRAMS n-grams."""
+    near = hot.groupBy("r", "n").agg(F.min("least").alias("key"))
+    like = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(threshold))) if threshold < 1 else F.col("n")
+    near = materialize(near.withColumn("like", like), "near")
+    parts = near.groupBy("key", "like").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n") / BLOCK_GRAMS)).alias("parts"))
+    return near.join(parts, ["key", "like"]).select("r", "n", F.xxhash64("key", "like", F.pmod(F.xxhash64("r"), F.col("parts"))).alias("block"))
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, batch_grams: int = 1 << 20, block_rows: int = BLOCK_ROWS, cold: int = COLD) -> DataFrame:
+    """All pairs of documents of different text whose word n-gram sets have a Jaccard similarity of at least ``threshold``, and all copies.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their
-    names. Gives (doc_a, doc_b, overlap, jaccard) with doc_a < doc_b, each pair
-    once and every pair there is. Words are runs of letters and digits in lower
-    case; a text of 1 to n - 1 words has one n-gram, of all of them. Rows with a
-    null doc_id, a null text or no word have no pairs; equal texts have Jaccard
-    1; rows that repeat a doc_id count as one document if their texts are equal
-    (of different ones each is compared, and the best similarity is given). An
-    empty table gives no pairs.
+    names. Documents of equal text are a class, and the least doc_id stands for
+    it: the result has (doc_a, doc_b, overlap, jaccard) with doc_a < doc_b for
+    each pair of representatives, and one row for each other member of a class,
+    with its representative as doc_a, jaccard 1 and a null overlap. Every pair
+    there is follows from these, each is given once. Words are runs of letters
+    and digits in lower case; a text of 1 to n - 1 words has one n-gram, of all
+    of them; all of a very long text counts. Rows with a null doc_id, a null
+    text or no word have no pairs; a pair at the threshold is given; rows that
+    repeat a doc_id count as one document if their texts are equal (of different
+    ones each is compared, and the best similarity is given). An empty table
+    gives no pairs.
+
+    N-grams are 48 bits of a hash. Where two of them collide a document
+    frequency is too large, which costs time and no pair; two documents would
+    have to hold a colliding pair between them for their overlap to change.
     """
     spark = docs.sparkSession
     tune(spark)
-    blocks = partitions(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    packed = src.mapInArrow(_incidence(n, blocks, batch_grams), _PACKED)
-    cols = packed.repartitionById(blocks, F.col("dest")).mapInArrow(_columns, _PACKED)
-    rows = materialize(cols.repartition(blocks, "batch").mapInArrow(_rows(threshold), "doc_id long, n long, prefix array<long>, grams binary"), "rows")
-    del packed, cols
+    src = src.where(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("m", F.unhex(F.md5("text")))
+    reps, members, chars = _classes(src)
+    blocks = max(partitions(spark), -(-chars // (6 * COLUMN_GRAMS)))
+    parted = reps.mapInArrow(_incidence(n, blocks, batch_grams), _PACKED)
+    cols = parted.repartitionById(blocks, F.col("dest")).mapInArrow(_columns, _PACKED)
+    rows = materialize(cols.repartition(blocks, "batch").mapInArrow(_rows(threshold), "r long, doc_id long, n long, last long, prefix array<long>, grams binary"), "rows")
+    del parted, cols
     free_shuffles(spark)
 
-    # Neighbours in a column sorted by size: past a gap that breaks the size bound no pair can hold.
-    w = Window.partitionBy("h").orderBy("n", "doc_id")
-    chain = rows.select("doc_id", "n", F.explode("prefix").alias("h")).withColumns({"d0": F.lag("doc_id").over(w), "n0": F.lag("n").over(w)})
-    edges = chain.where(F.col("d0").isNotNull() & (F.col("n0") >= F.col("n") * threshold - 1e-9)).select("d0", "doc_id")
-    comp = materialize(connected_components(edges), "components")
+    post = rows.select("r", "n", "last", F.explode("prefix").alias("h"))
+    by = post.groupBy("h").agg(F.count("*").alias("m"), F.min("r").alias("least"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("m > 1")
+    met = post.join(by, "h").where(f"n1 >= n * {threshold!r} - 1e-9 AND n >= n1 * {threshold!r} - 1e-9 OR m > 2")
+
+    # Columns of few rows: candidates by shared prefix columns, then exactly.
+    listed = met.where(F.col("m") <= cold).groupBy("h").agg(F.collect_list(F.struct("r", "n", "last")).alias("rows")).select("rows")
+    cand = listed.mapInArrow(_meet(threshold), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+    side = rows.select("r", "doc_id", "n", "grams")
+    pair = cand.join(side.toDF("a", "da", "na", "ga"), "a").join(side.toDF("b", "db", "nb", "gb"), "b").select("da", "db", "na", "nb", "ga", "gb")
+    few = materialize(pair.mapInArrow(_verify(threshold), "doc_a long, doc_b long, overlap long, jaccard double"), "few")
     free_shuffles(spark)
 
-    # Components in row blocks by size; block pairs whose sizes can't meet the bound are discarded.
-    wc = Window.partitionBy("component").orderBy("n", "doc_id")
-    placed = rows.select("doc_id", "n", "grams").join(comp.withColumnRenamed("node", "doc_id"), "doc_id")
-    # A repeated doc_id with the same text is one row.
-    placed = materialize(placed.dropDuplicates(["doc_id", "grams"]), "placed")
-    chunk = placed.select("doc_id", "n", "component").withColumn("chunk", F.floor((F.row_number().over(wc) - 1) / block_rows))
-    chunk = chunk.groupBy("component", "doc_id", "n").agg(F.min("chunk").alias("chunk"))
-    span = chunk.groupBy("component", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = span.alias("a"), span.alias("b")
-    pair = a.join(b, F.expr(f"a.component = b.component AND a.chunk <= b.chunk AND a.most >= b.least * {threshold!r} - 1e-9")).select(F.col("a.component").alias("component"), F.col("a.chunk").alias("c1"), F.col("b.chunk").alias("c2"))
-    member = pair.select("component", "c1", "c2", F.explode(F.expr("IF(c1 = c2, array(c1), array(c1, c2))")).alias("chunk"))
-    side = chunk.join(member, ["component", "chunk"])
-    work = side.join(placed.select("doc_id", "n", "grams"), ["doc_id", "n"]).select("component", "c1", "c2", "doc_id", "n", "chunk", "grams")
-    work = work.repartition("component", "c1", "c2").sortWithinPartitions("component", "c1", "c2")
-    out = work.mapInArrow(_multiply(threshold), "doc_a long, doc_b long, overlap long, jaccard double")
+    # Columns of many: row blocks, each with itself, and each two that meet in a column with their rows that do.
+    hot = materialize(met.where(F.col("m") > cold).select("h", "r", "n", "least"), "hot")
+    block = materialize(_blocks(hot, threshold, block_rows), "blocks")
+    own = block.select(F.col("block").alias("b1"), F.col("block").alias("b2"), "r", "block")
+    at = hot.select("h", "r").join(block, "r")
+    there = at.groupBy("h", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+    there = there.join(there.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "h", "left_semi").withColumnRenamed("block", "other")
+    cross = at.join(there, "h").where(f"block <> other AND n1 >= n * {threshold!r} - 1e-9 AND n >= n0 * {threshold!r} - 1e-9")
+    cross = cross.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "r", "block").distinct()
+    work = own.unionByName(cross).join(side, "r").select("b1", "b2", "doc_id", "n", "block", "grams")
+    work = work.repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    many = work.mapInArrow(_multiply(threshold), "doc_a long, doc_b long, overlap long, jaccard double")
+
+    copies = members.withColumns({"overlap": F.lit(None).cast("long"), "jaccard": F.lit(1.0)})
+    out = few.unionByName(many).unionByName(copies)
     return out.groupBy("doc_a", "doc_b").agg(F.max_by("overlap", "jaccard").alias("overlap"), F.max("jaccard").alias("jaccard"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document, that of the least doc_id, of each group that near copies connect.
+    """``docs`` with one document, that of the least doc_id, of each group that near copies connect, with all columns, whatever their names.
 
-    Rows with a null doc_id or text stay. The doc_ids to drop are broadcast only
-    while they are few enough (common.BROADCAST_LIMIT); beyond that the rows are
-    joined on doc_id.
+    Rows with a null doc_id or text stay, as do those without a word, and rows
+    that repeat a doc_id stay or go together; all of a very long text counts. An
+    empty table gives no rows. The doc_ids to drop are broadcast only while they
+    are few enough (common.BROADCAST_LIMIT); beyond that the rows are joined on
+    doc_id.
     """
-    from polystrata.llm.common import BROADCAST_LIMIT
-
     pairs = materialize(jaccard_pairs(docs, n, threshold).select("doc_a", "doc_b"), "pairs")
-    comp = connected_components(pairs)
-    drop = materialize(comp.where("node <> component").select(F.col("node").alias("__drop")), "drop")
+    drop = materialize(connected_components(pairs).where("node <> component").select(F.col("node").alias("drop")), "drop")
     release(pairs)
-    few = drop.count() * 16 <= BROADCAST_LIMIT
-    return docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    row, columns = packed(docs)
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), row)
+    return d.join(_few(drop), F.col("id") == F.col("drop"), "left_anti").select(*columns)
 
 
 def brute_pairs(rows: list[tuple], n: int = N, threshold: float = THRESHOLD) -> set[tuple[int, int]]:
-    """The same pairs from plain Python sets, for tests."""
+    """All pairs, with those between copies, from plain Python sets, for tests."""
     sets = []
     for k, t in rows:
         if k is None or not t:

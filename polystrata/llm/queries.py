@@ -59,7 +59,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-copy pairs of documents."""
+    """All near-copy pairs of documents of different text, and every other copy of a text with the one that stands for it."""
     return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -75,15 +75,18 @@ for _f in (op1_quality_classifier, op2_html_extraction, op3_topk_search, op4_mix
 ORACLE["op3_topk_search"] = topk_search.SQL
 ORACLE["op4_mixing"] = mixing.SQL
 ORACLE["op9_ngram_jaccard"] = """
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]')),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM d WHERE doc_id = rep),
 g AS (SELECT DISTINCT doc_id, gram FROM (
         SELECT doc_id, unnest(CASE WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
                ELSE list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) END) AS gram
-        FROM w WHERE len(a) > 0)),
+        FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS overlap
       FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, overlap, round(overlap / (p.n + q.n - overlap)::DOUBLE, 6) AS jaccard
 FROM o JOIN n p ON p.doc_id = doc_a JOIN n q ON q.doc_id = doc_b
 WHERE overlap / (p.n + q.n - overlap)::DOUBLE >= 0.5 - 1e-12
+UNION ALL
+SELECT rep, doc_id, NULL, 1.0 FROM d WHERE doc_id <> rep
 """

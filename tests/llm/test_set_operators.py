@@ -19,9 +19,31 @@ def test_against_sql(spark, name):
     assert compare.compare(spark, compare.views(SF), SF, queries.QUERIES[name], queries.ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("block_rows", [2, 512])
+def _expanded(rows, texts):
+    """Pairs of the result with copies put in place of those that stand for them."""
+    by = {}
+    for i, t in texts:
+        if i is not None and t:
+            by.setdefault(t, set()).add(i)
+    rep = {min(v): v for v in by.values()}
+    out = set()
+    for a, b, copy in rows:
+        for x in {a} if copy else rep.get(a, {a}):
+            for y in {b} if copy else rep.get(b, {b}):
+                out.add((min(x, y), max(x, y)))
+    for v in rep.values():
+        if any(a in v and b in v for a, b, _ in rows):
+            out |= {(x, y) for x in v for y in v if x < y}
+    return out
+
+
+def _rows_of(df):
+    return [(x.doc_a, x.doc_b, x.overlap is None) for x in df.collect()]
+
+
+@pytest.mark.parametrize(("block_rows", "cold"), [(2, 2), (512, 2), (512, 24)])
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
-def test_pairs_as_brute_force(spark, threshold, block_rows):
+def test_pairs_as_brute_force(spark, threshold, block_rows, cold):
     r = random.Random(7)
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 40))) for _ in range(60)]
@@ -30,16 +52,22 @@ def test_pairs_as_brute_force(spark, threshold, block_rows):
         for _ in range(r.randrange(0, 4)):
             t[r.randrange(len(t))] = r.choice(words)
         texts.append(" ".join(t))
+    for k in range(20):
+        t = texts[0].split() + [f"v{i}" for i in range(30)]
+        t[r.randrange(len(t))] = "other"
+        texts += [" ".join(t)] * (1 + k % 3)
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {(x.doc_a, x.doc_b) for x in ngram_join.jaccard_pairs(docs, 3, threshold, batch_grams=200, block_rows=block_rows).collect()}
-    assert got == ngram_join.brute_pairs(rows, 3, threshold)
+    got = _rows_of(ngram_join.jaccard_pairs(docs, 3, threshold, batch_grams=200, block_rows=block_rows, cold=cold))
+    assert len(got) == len(set(got))
+    assert _expanded(got, rows) == ngram_join.brute_pairs(rows, 3, threshold)
 
 
 def test_pairs_of_odd_rows(spark, odd, none, odd_rows):
-    got = {(x.doc_a, x.doc_b) for x in ngram_join.jaccard_pairs(odd).collect()}
-    assert got == ngram_join.brute_pairs([r[:2] for r in odd_rows])
-    assert {(1, 2), (1, 3), (2, 3), (7, 8), (9, 10)} <= got
+    texts = [r[:2] for r in odd_rows]
+    got = _rows_of(ngram_join.jaccard_pairs(odd))
+    assert _expanded(got, texts) == ngram_join.brute_pairs(texts)
+    assert {(1, 2, True), (1, 3, False), (7, 8, False), (9, 10, True)} <= set(got)
     assert ngram_join.jaccard_pairs(none).count() == 0
     left = ngram_join.drop_near_copies(odd)
     assert left.columns == odd.columns
@@ -48,6 +76,26 @@ def test_pairs_of_odd_rows(spark, odd, none, odd_rows):
     assert ngram_join.drop_near_copies(none).count() == 0
 
 
+def test_pairs_at_the_threshold(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f x y z"), (3, "a b c d e f g")]  # 4 of 9, 5 of 6
+    got = {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 3, 5 / 6).collect()}
+    assert got == {(1, 3): pytest.approx(5 / 6)}
+
+
+def test_a_repeated_row_of_a_hot_text_is_one_document(spark):
+    rows = [(1, "one two three four five")] * 500 + [(2, "one two three four five six")] * 500 + [(3, "one two three four five")] * 500
+    got = _rows_of(ngram_join.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert sorted(got) == [(1, 2, False), (1, 3, True)]
+
+
+def test_a_chain_costs_no_more_than_its_links(spark):
+    """Each document shares half of its words with the next one and nothing with others."""
+    n = 20_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(cast(id * 10 AS int), cast(id * 10 + 31 AS int)), x -> concat('w', x))) AS text")
+    got = ngram_join.jaccard_pairs(docs)
+    assert got.count() == n - 1 and got.where("doc_b <> doc_a + 1").isEmpty()
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)]
