@@ -11,8 +11,9 @@ Columns of few rows give candidate pairs, whose counts of shared prefix columns
 are added up; what can't reach the bound that the sizes set is discarded before
 any full row is read. Rows of columns with many are put in blocks, each with
 those that share a column with the same least row, and two blocks are multiplied
-if they meet in a column, but only their rows that do. Nothing is closed
-transitively, so chains of documents cost no more than their links.
+if they meet in a column, but only their rows that do. Candidates aren't closed
+transitively, so chains of documents cost no more than their links. Products
+give each row's number of links and what they connect it with, not the pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import BROADCAST_LIMIT, connected_components, free_shuffles, materialize, ngram_hashes, packed, partitions, release, slices, tune
+from polystrata.llm.common import BROADCAST_LIMIT, connected_components, free_shuffles, materialize, ngram_hashes, packed, partitions, slices, tune
 
 N, THRESHOLD = 3, 0.5
 COLD = 24  #: rows of a prefix column up to which its pairs are candidates
@@ -207,28 +208,28 @@ def _meet(t: float):
     return run
 
 
-_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
-
-
 def _grams(x: bytes) -> np.ndarray:
     a = np.zeros((len(x) // 6, 8), np.uint8)
     a[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
     return a.view("<i8").ravel()
 
 
+def _similar(o: np.ndarray, na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    return o / np.maximum(na + nb - o, 1) >= t - 1e-12
+
+
 def _verify(t: float):
-    """Exact overlaps of candidate pairs. Columns: two doc_ids, two sizes, two rows' n-grams."""
+    """The candidate pairs that reach the threshold. Columns: two rows, two sizes, their n-grams."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            da, db, na, nb = (b.column(c).to_numpy() for c in range(4))
-            o = np.zeros(len(da), np.int64)
+            a, c, na, nb = (b.column(k).to_numpy() for k in range(4))
+            o = np.zeros(len(a), np.int64)
             for k, (x, y) in enumerate(zip(b.column(4), b.column(5))):
                 z = np.sort(np.concatenate([_grams(x.as_py()), _grams(y.as_py())]), kind="stable")
                 o[k] = np.count_nonzero(z[1:] == z[:-1])
-            jac = o / np.maximum(na + nb - o, 1)
-            ok = (jac >= t - 1e-12) & (da != db)
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (np.minimum(da, db), np.maximum(da, db), o, jac)], schema=_PAIRS)
+            ok = _similar(o, na, nb, t)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], ["a", "b"])
 
     return run
 
@@ -264,23 +265,30 @@ def overlaps(rows: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
     return np.triu(np.maximum(acc, acc.T), 1)
 
 
+def _roots(near: np.ndarray) -> np.ndarray:
+    """The least row that each row is connected with."""
+    root = np.arange(len(near))
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], len(near)).min(1))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _multiply(threshold: float):
-    """Multiplies row blocks: rows come sorted by block pair. Columns: b1, b2, doc_id, n, the row's own block, n-grams."""
+    """Multiplies row blocks: rows come sorted by block pair. Columns: b1, b2, row, n, weight, the row's own block, n-grams. Gives (row, weight of the rows linked with it, a row that links connect it with)."""
 
     def product(key: tuple, got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, n, own = (np.array(x, np.int64) for x in zip(*[g[:3] for g in got]))
-        o = overlaps([_grams(g[3]) for g in got])
-        i, j = np.nonzero(o)
+        r, n, weight, own = (np.array(x, np.int64) for x in zip(*[g[:4] for g in got]))
+        o = overlaps([_grams(g[4]) for g in got])
+        o = o + o.T
+        near = _similar(o, n[:, None], n[None, :], threshold) & (o > 0)
         if key[0] != key[1]:
-            cross = own[i] != own[j]
-            i, j = i[cross], j[cross]
-        o = o[i, j]
-        jac = o / np.maximum(n[i] + n[j] - o, 1)
-        ok = (jac >= threshold - 1e-12) & (ids[i] != ids[j])
-        i, j, o, jac = i[ok], j[ok], o[ok], jac[ok]
-        lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        for s in range(0, len(lo), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (lo, hi, o, jac)], schema=_PAIRS)
+            near &= own[:, None] != own[None, :]
+        links = near @ weight
+        ok = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (r, links, r[_roots(near)])], ["r", "links", "peer"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, got = None, []
@@ -301,26 +309,35 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_LIMIT else df
 
 
-def _classes(src: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(representatives with their text, (doc_a, doc_b) of every other document of a class with its representative, characters of the representatives).
+def _classes(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Texts and what stands for them: (ident, text) of one document of each different text; (ident, size) of the texts
+    that several documents have; (ident, doc_id) of all documents whose ident isn't their own doc_id or of which there
+    are several; the characters of the texts.
 
-    ``src`` is (doc_id, text, m), m a digest of the text. Texts are moved only
-    for rows that repeat a representative, unless there are too many other
-    members to broadcast.
+    ``src`` is (doc_id, text, m), m a digest of the text. The ident is the text's
+    least doc_id, or a number of its own where that doc_id has other texts too.
+    Texts are moved only for rows that repeat what stands for them, unless there
+    are too many other members to broadcast.
     """
     rows = materialize(src.groupBy("m", "doc_id").agg(F.count("*").alias("c"), F.max(F.length("text")).alias("chars")), "texts")
-    by = rows.groupBy("m").agg(F.min("doc_id").alias("rep"), F.sum("c").alias("all"), F.max("chars").alias("chars"))
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("odd"))
+    odd = materialize(odd, "odd")
+    by = rows.groupBy("m").agg(F.min("doc_id").alias("rep"), F.sum("c").alias("all"), F.count("*").alias("size"), F.max("chars").alias("chars"))
     chars = by.agg(F.sum("chars")).first()[0] or 0
-    many = materialize(rows.join(by.where(F.col("all") > 1).select("m", "rep"), "m").select("m", "doc_id", "rep", "c"), "copies")
-    members = many.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
-    left = many.where("doc_id <> rep OR c > 1").select("m", "doc_id")
+    name = F.when(F.col("odd").isNull(), F.col("rep")).otherwise(-1 - F.pmod(F.xxhash64("rep", "m"), F.lit(1 << 62)))
+    by = by.join(_few(odd), F.col("rep") == F.col("odd"), "left").withColumn("ident", name).where("all > 1 OR odd IS NOT NULL")
+    many = materialize(rows.join(by.select("m", "rep", "ident", "size"), "m").select("m", "doc_id", "rep", "ident", "size", "c"), "copies")
+
+    stands = F.col("doc_id") == F.col("rep")
+    left = many.where(~stands | (F.col("c") > 1) | (F.col("ident") != F.col("rep"))).select("m", "doc_id")
     few = _few(left)
     single = src.join(few, ["m", "doc_id"], "left_anti")
     if few is left:
         single = single.sortWithinPartitions("m", "doc_id")  # a task that is run again must give the same batches
-    again = many.where("doc_id = rep AND c > 1").select("m", "doc_id")
-    repeated = src.join(_few(again), ["m", "doc_id"], "left_semi").groupBy("doc_id", "m").agg(F.first("text").alias("text")).sortWithinPartitions("m", "doc_id")
-    return single.select("doc_id", "text").unionByName(repeated.select("doc_id", "text")), members, chars
+    again = many.where(stands & ((F.col("c") > 1) | (F.col("ident") != F.col("rep")))).select("m", "doc_id", "ident")
+    repeated = src.join(_few(again), ["m", "doc_id"]).groupBy("ident", "m").agg(F.first("text").alias("text")).sortWithinPartitions("m", "ident")
+    texts = single.select(F.col("doc_id").alias("ident"), "text").unionByName(repeated.select("ident", "text"))
+    return texts, many.where("size > 1").select("ident", "size").distinct(), many.select("ident", "doc_id"), chars
 
 
 def _blocks(hot: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -332,48 +349,48 @@ def _blocks(hot: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     return near.join(parts, ["key", "like"]).select("r", "n", F.xxhash64("key", "like", F.pmod(F.xxhash64("r"), F.col("parts"))).alias("block"))
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, batch_grams: int = 1 << 20, block_rows: int = BLOCK_ROWS, cold: int = COLD) -> DataFrame:
-    """All pairs of documents of different text whose word n-gram sets have a Jaccard similarity of at least ``threshold``, and all copies.
+def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, batch_grams: int = 1 << 20, block_rows: int = BLOCK_ROWS, cold: int = COLD) -> DataFrame:
+    """(doc_id, class_id, links) of every document that has a link: with how many others its word n-gram set has a Jaccard similarity of at least ``threshold``, and the least doc_id of those that links connect it with.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their
-    names. Documents of equal text are a class, and the least doc_id stands for
-    it: the result has (doc_a, doc_b, overlap, jaccard) with doc_a < doc_b for
-    each pair of representatives, and one row for each other member of a class,
-    with its representative as doc_a, jaccard 1 and a null overlap. Every pair
-    there is follows from these, each is given once. Words are runs of letters
-    and digits in lower case; a text of 1 to n - 1 words has one n-gram, of all
-    of them; all of a very long text counts. Rows with a null doc_id, a null
-    text or no word have no pairs; a pair at the threshold is given; rows that
-    repeat a doc_id count as one document if their texts are equal (of different
-    ones each is compared, and the best similarity is given). An empty table
-    gives no pairs.
+    names. Documents of equal text are compared once for all, and each of them is
+    a link of the others. Words are runs of letters and digits in lower case; a
+    text of 1 to n - 1 words has one n-gram, of all of them; all of a very long
+    text counts. Rows with a null doc_id, a null text or no word have no links; a
+    similarity at the threshold is one. Rows that repeat a doc_id and its text
+    are one document; each other text of a doc_id is a document of its own, and
+    the row of the doc_id has the sum of their links. An empty table gives no
+    rows.
 
     N-grams are 48 bits of a hash. Where two of them collide a document
-    frequency is too large, which costs time and no pair; two documents would
+    frequency is too large, which costs time and no link; two documents would
     have to hold a colliding pair between them for their overlap to change.
     """
     spark = docs.sparkSession
     tune(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     src = src.where(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("m", F.unhex(F.md5("text")))
-    reps, members, chars = _classes(src)
+    texts, sizes, held, chars = _classes(src)
     blocks = max(partitions(spark), -(-chars // (6 * COLUMN_GRAMS)))
-    parted = reps.mapInArrow(_incidence(n, blocks, batch_grams), _PACKED)
+    parted = texts.mapInArrow(_incidence(n, blocks, batch_grams), _PACKED)
     cols = parted.repartitionById(blocks, F.col("dest")).mapInArrow(_columns, _PACKED)
     rows = materialize(cols.repartition(blocks, "batch").mapInArrow(_rows(threshold), "r long, doc_id long, n long, last long, prefix array<long>, grams binary"), "rows")
     del parted, cols
     free_shuffles(spark)
+    sizes = materialize(sizes, "sizes")
+    ident = rows.select("r", F.col("doc_id").alias("ident")).join(_few(sizes), "ident", "left").select("r", "ident", F.coalesce("size", F.lit(1)).cast("long").alias("weight"))
+    ident = materialize(ident, "idents")
 
     post = rows.select("r", "n", "last", F.explode("prefix").alias("h"))
-    by = post.groupBy("h").agg(F.count("*").alias("m"), F.min("r").alias("least"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("m > 1")
-    met = post.join(by, "h").where(f"n1 >= n * {threshold!r} - 1e-9 AND n >= n1 * {threshold!r} - 1e-9 OR m > 2")
+    by = post.groupBy("h").agg(F.count("*").alias("m"), F.min("r").alias("least")).where("m > 1")
+    met = post.join(by, "h")
+    side = rows.select("r", "n", "grams")
 
     # Columns of few rows: candidates by shared prefix columns, then exactly.
     listed = met.where(F.col("m") <= cold).groupBy("h").agg(F.collect_list(F.struct("r", "n", "last")).alias("rows")).select("rows")
     cand = listed.mapInArrow(_meet(threshold), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
-    side = rows.select("r", "doc_id", "n", "grams")
-    pair = cand.join(side.toDF("a", "da", "na", "ga"), "a").join(side.toDF("b", "db", "nb", "gb"), "b").select("da", "db", "na", "nb", "ga", "gb")
-    few = materialize(pair.mapInArrow(_verify(threshold), "doc_a long, doc_b long, overlap long, jaccard double"), "few")
+    pair = cand.join(side.toDF("a", "na", "ga"), "a").join(side.toDF("b", "nb", "gb"), "b").select("a", "b", "na", "nb", "ga", "gb")
+    few = materialize(pair.mapInArrow(_verify(threshold), "a long, b long"), "few")
     free_shuffles(spark)
 
     # Columns of many: row blocks, each with itself, and each two that meet in a column with their rows that do.
@@ -384,14 +401,33 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bat
     there = at.groupBy("h", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
     there = there.join(there.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "h", "left_semi").withColumnRenamed("block", "other")
     cross = at.join(there, "h").where(f"block <> other AND n1 >= n * {threshold!r} - 1e-9 AND n >= n0 * {threshold!r} - 1e-9")
-    cross = cross.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "r", "block").distinct()
-    work = own.unionByName(cross).join(side, "r").select("b1", "b2", "doc_id", "n", "block", "grams")
+    cross = materialize(cross.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "r", "block").distinct(), "cross")
+    work = own.unionByName(cross).join(side.join(ident.select("r", "weight"), "r"), "r").select("b1", "b2", "r", "n", "weight", "block", "grams")
     work = work.repartition("b1", "b2").sortWithinPartitions("b1", "b2")
-    many = work.mapInArrow(_multiply(threshold), "doc_a long, doc_b long, overlap long, jaccard double")
+    many = materialize(work.mapInArrow(_multiply(threshold), "r long, links long, peer long"), "many")
+    free_shuffles(spark)
 
-    copies = members.withColumns({"overlap": F.lit(None).cast("long"), "jaccard": F.lit(1.0)})
-    out = few.unionByName(many).unionByName(copies)
-    return out.groupBy("doc_a", "doc_b").agg(F.max_by("overlap", "jaccard").alias("overlap"), F.max("jaccard").alias("jaccard"))
+    # Pairs that products have counted already aren't counted again.
+    placed = few.join(block.select(F.col("r").alias("a"), F.col("block").alias("x")), "a", "left").join(block.select(F.col("r").alias("b"), F.col("block").alias("y")), "b", "left")
+    placed = placed.where("x IS NULL OR y IS NULL OR x <> y").withColumns({"b1": F.least("x", "y"), "b2": F.greatest("x", "y")})
+    for c in ("a", "b"):
+        placed = placed.join(cross.select("b1", "b2", F.col("r").alias(c), F.lit(True).alias(f"has_{c}")), ["b1", "b2", c], "left")
+    placed = placed.where("has_a IS NULL OR has_b IS NULL").select("a", "b")
+    two = F.explode(F.array(F.struct(F.col("a").alias("r"), F.col("b").alias("o")), F.struct(F.col("b").alias("r"), F.col("a").alias("o")))).alias("x")
+    one = placed.select(two).select("x.r", "x.o").join(ident.select(F.col("r").alias("o"), F.col("weight").alias("links")), "o").select("r", "links")
+    near = many.select("r", "links").unionByName(one).groupBy("r").agg(F.sum("links").alias("links"))
+    near = near.join(ident, "r").groupBy("ident").agg(F.sum("links").alias("links"))
+
+    name = ident.select("r", "ident")
+    edges = few.unionByName(many.select(F.col("r").alias("a"), F.col("peer").alias("b")))
+    edges = edges.join(name.toDF("a", "u"), "a").join(name.toDF("b", "v"), "b").select("u", "v")
+    texts_of = held.join(held.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("ident").alias("v")).where("k > 1"), "doc_id")
+    comp = connected_components(edges.unionByName(texts_of.select(F.col("ident").alias("u"), "v")))
+    out = near.join(sizes, "ident", "full").select("ident", (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).alias("links")).where("links > 0")
+    out = out.join(comp.withColumnRenamed("node", "ident"), "ident", "left").join(held, "ident", "left")
+    out = materialize(out.select(F.coalesce("doc_id", "ident").alias("doc_id"), F.coalesce("component", "ident").alias("component"), "links"), "linked")
+    named = out.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return out.join(named, "component").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -403,9 +439,7 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     are few enough (common.BROADCAST_LIMIT); beyond that the rows are joined on
     doc_id.
     """
-    pairs = materialize(jaccard_pairs(docs, n, threshold).select("doc_a", "doc_b"), "pairs")
-    drop = materialize(connected_components(pairs).where("node <> component").select(F.col("node").alias("drop")), "drop")
-    release(pairs)
+    drop = materialize(near_copies(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("drop")), "drop")
     row, columns = packed(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("id"), row)
     return d.join(_few(drop), F.col("id") == F.col("drop"), "left_anti").select(*columns)

@@ -43,7 +43,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicate vectors."""
+    """Every vector's class of near duplicates, and how many it has."""
     return nn_descent.neighbours(table(spark, sf_dir, "embeddings"))
 
 
@@ -59,8 +59,8 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near-copy pairs of documents of different text, and every other copy of a text with the one that stands for it."""
-    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+    """Every document with near copies: its class, and how many it has."""
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +75,18 @@ for _f in (op1_quality_classifier, op2_html_extraction, op3_topk_search, op4_mix
 ORACLE["op3_topk_search"] = topk_search.SQL
 ORACLE["op4_mixing"] = mixing.SQL
 ORACLE["op9_ngram_jaccard"] = """
-WITH d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]')),
+WITH RECURSIVE d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS size, text
+       FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]')),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM d WHERE doc_id = rep),
 g AS (SELECT DISTINCT doc_id, gram FROM (
         SELECT doc_id, unnest(CASE WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
                ELSE list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) END) AS gram
         FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS overlap
-      FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, round(overlap / (p.n + q.n - overlap)::DOUBLE, 6) AS jaccard
-FROM o JOIN n p ON p.doc_id = doc_a JOIN n q ON q.doc_id = doc_b
-WHERE overlap / (p.n + q.n - overlap)::DOUBLE >= 0.5 - 1e-12
-UNION ALL
-SELECT rep, doc_id, NULL, 1.0 FROM d WHERE doc_id <> rep
+o AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS overlap FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM o JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE overlap / (p.n + q.n - overlap)::DOUBLE >= 0.5 - 1e-12),
+l AS (SELECT u, sum(size)::BIGINT AS links FROM e JOIN d ON d.doc_id = v GROUP BY u),
+c AS (SELECT doc_id AS node, doc_id AS reach FROM d WHERE doc_id = rep UNION SELECT c.node, e.v FROM c JOIN e ON e.u = c.reach),
+m AS (SELECT node, min(reach) AS class_id FROM c GROUP BY node)
+SELECT d.doc_id, m.class_id, coalesce(l.links, 0) + d.size - 1 AS links FROM d JOIN m ON m.node = d.rep LEFT JOIN l ON l.u = d.rep WHERE coalesce(l.links, 0) + d.size > 1
 """
