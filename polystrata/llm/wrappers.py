@@ -1,14 +1,19 @@
 """HTML extraction by union-free regular-expression inference.
 
 A page is a stream of tags and texts. Runs of equal groups in a stream become
-repeated groups; the distinct streams of a host are then aligned one after
-another with the host's wrapper so far, and what some streams lack becomes
-optional groups. Texts that are the same in every page belong to the template;
-the others are slots. The wrapper is a regular expression without alternatives,
-and every page's texts are given by the slot that they fill.
+repeated groups; the distinct streams of a host are then aligned, two at a time
+and in a tree, and what one side lacks becomes an optional group, what one side
+repeats a repeated one. A wrapper takes no more streams once its columns would be
+more than WIDTH times its longest stream, or where too little of the two sides
+matches; such layouts have wrappers of their own. Texts that are the same in
+every page of a wrapper belong to the template; the others are slots. A wrapper
+is a regular expression without alternatives, and every page's texts are given
+by the slot that they fill.
 
 Wrappers are inferred from distinct streams, not from pages: a host with very
-many pages of a few layouts costs no more than its layouts.
+many pages of a few layouts costs no more than its layouts. A task merges at most
+about FAN wrappers, whatever the host, and where a stream's slots lie is followed
+through the rounds, so that no row grows with the number of streams.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,6 +41,10 @@ CONTAINERS = {"html", "head", "title", "body", "nav", "header", "footer", "main"
 PARTS = {"article", "main", "nav", "header", "footer", "aside"}
 FORMS = {"ul", "ol", "table", "td", "th", "figure", "blockquote", "pre"}
 TEXT = "#"
+FAN = 16  #: wrappers, about, that a task merges
+WIDTH = 4  #: columns of a wrapper, at most, in lengths of its longest stream
+ALIKE = 0.25  #: of the shorter side's columns, the least share that must match
+TABLE_CELLS = 1 << 22  #: of an alignment table; beyond it the sides are split
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -106,84 +116,135 @@ def _as_key(x):
     return x if isinstance(x, str) else ("+", tuple(_as_key(k) for k in x[1]))
 
 
-def _align(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest common subsequence of two key lists, as index pairs; of equal ones that which matches earliest."""
+def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``x`` and each beginning of ``y``."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        nxt = row.copy()
+        np.maximum(row[1:], row[:-1] + (y == v), out=nxt[1:])
+        row = np.maximum.accumulate(nxt)
+    return row
+
+
+def _matched(x: np.ndarray, y: np.ndarray, i0: int, j0: int) -> list[tuple[int, int]]:
     lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
         lo += 1
     hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
         hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, nxt = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = nxt[j + 1] + 1 if x[i] == y[j] else max(nxt[j], row[j + 1])
-    out = [(k, k) for k in range(lo)]
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out.append((lo + i, lo + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    out = [(i0 + k, j0 + k) for k in range(lo)]
+    a, b = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    if len(a) and len(b):
+        if len(a) * len(b) > TABLE_CELLS and len(a) > 1:
+            mid = len(a) // 2
+            cut = int((_row(a[:mid], b) + _row(a[mid:][::-1], b[::-1])[::-1]).argmax())
+            out += _matched(a[:mid], b[:cut], i0 + lo, j0 + lo) + _matched(a[mid:], b[cut:], i0 + lo + mid, j0 + lo + cut)
         else:
-            j += 1
-    return out + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+            best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+            for i in range(len(a) - 1, -1, -1):  # of what follows
+                row = np.maximum(best[i + 1][:-1], best[i + 1][1:] + (b == a[i]))
+                best[i][:-1] = np.maximum.accumulate(row[::-1])[::-1]
+            i = j = 0
+            while i < len(a) and j < len(b):
+                if a[i] == b[j]:
+                    out.append((i0 + lo + i, j0 + lo + j))
+                    i, j = i + 1, j + 1
+                elif best[i + 1][j] >= best[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+    return out + [(i0 + len(x) - hi + k, j0 + len(y) - hi + k) for k in range(hi)]
+
+
+def _align(a: list, b: list) -> list[tuple[int, int]]:
+    """Longest common subsequence of two key lists, as index pairs. Memory is bounded by TABLE_CELLS."""
+    number: dict = {}
+    x, y = (np.array([number.setdefault(k, len(number)) for k in s], np.int64) for s in (a, b))
+    return _matched(x, y, 0, 0)
 
 
 class Wrapper:
-    """Columns (key, streams that have it, first slot) of a host's aligned streams."""
-
-    def __init__(self, streams: list[list], weights: list[int]):
-        order = sorted(range(len(streams)), key=lambda i: (-weights[i], -len(streams[i]), repr(streams[i])))
-        self.keys: list = []
-        has: list[set[int]] = []
-        self.at: dict[int, list[int]] = {}
-        for i in order:
-            s = list(streams[i])
-            match = _align(self.keys, s)
-            keys, new, place, ia, ib = [], [], [0] * len(s), 0, 0
-            for a, b in [*match, (len(self.keys), len(s))]:
-                while ia < a:
-                    keys.append(self.keys[ia])
-                    new.append(has[ia])
-                    ia += 1
-                while ib < b:
-                    place[ib] = len(keys)
-                    keys.append(s[ib])
-                    new.append({i})
-                    ib += 1
-                if a < len(self.keys):
-                    place[b] = len(keys)
-                    keys.append(s[b])
-                    new.append(has[a] | {i})
-                    ia, ib = a + 1, b + 1
-            self.keys, has = keys, new
-        self.has = has
-        self.total = len(streams)
-        self.first, n = [], 0
-        for k in self.keys:
-            self.first.append(n)
-            n += slots_of(k)
-        self.slots = n
-        for i in range(len(streams)):
-            self.at[i] = [c for c in range(len(self.keys)) if i in has[c]]
+    """Columns of aligned streams: their keys, and of each the sum of hashes of the streams that have it, ``total`` if all do."""
+
+    def __init__(self, keys: list, has: list[int], total: int, longest: int, ids: list[int]):
+        self.keys, self.has, self.total, self.longest, self.ids = keys, has, total, longest, ids
 
     def expression(self, fixed: dict[int, str] | None = None) -> str:
         """The wrapper as a regular expression: (..)? is optional, (..)+ repeated, {n} the slot n."""
-        out, c = [], 0
+        out, c, slot = [], 0, 0
         while c < len(self.keys):
-            e = c + 1
+            e, body = c, ""
             while e < len(self.keys) and self.has[e] == self.has[c]:
+                body += _written(self.keys[e], slot, fixed or {})
+                slot += slots_of(self.keys[e])
                 e += 1
-            body = "".join(_written(self.keys[i], self.first[i], fixed or {}) for i in range(c, e))
-            out.append(body if len(self.has[c]) == self.total else f"({body})?")
+            out.append(body if self.has[c] == self.total else f"({body})?")
             c = e
         return "".join(out)
 
 
+_MASK = (1 << 64) - 1
+
+
+def _opened(w: Wrapper, repeats: dict) -> tuple[list, list[int], list[int]]:
+    """(keys, who has them, new slot of each slot) of ``w`` with single groups that are repeated elsewhere as repeated groups."""
+    out, i = [], 0
+    groups = sorted(repeats, key=lambda g: (-len(g), repr(g)))
+    while i < len(w.keys):
+        for g in groups:
+            if tuple(w.keys[i : i + len(g)]) == g and len(set(w.has[i : i + len(g)])) == 1:
+                out.append((repeats[g], w.has[i]))
+                i += len(g)
+                break
+        else:
+            out.append((w.keys[i], w.has[i]))
+            i += 1
+    # A repeated group beside single ones of the same group is one run.
+    merged: list = []
+    slots: list[int] = []
+    n = 0
+    for k, h in out:
+        m = slots_of(k)
+        if merged and not isinstance(k, str) and merged[-1] == (k, h):
+            slots += list(range(n - m, n))
+        else:
+            merged.append((k, h))
+            slots += list(range(n, n + m))
+            n += m
+    return [k for k, _ in merged], [h for _, h in merged], slots
+
+
+def merge(a: Wrapper, b: Wrapper) -> tuple[Wrapper, list[int], list[int]] | None:
+    """Both as one wrapper, and where the slots of each lie in it; None if they aren't alike enough."""
+    repeats = {k[1]: k for w in (a, b) for k in w.keys if not isinstance(k, str)}
+    (ka, ha, sa), (kb, hb, sb) = (_opened(w, repeats) for w in (a, b))
+    match = _align(ka, kb)
+    longest = max(a.longest, b.longest)
+    if len(match) < ALIKE * min(len(ka), len(kb)) or len(ka) + len(kb) - len(match) > max(WIDTH * longest, 8):
+        return None
+    keys, has, to_a, to_b, n = [], [], [], [], 0
+    ia = ib = 0
+    for x, y in [*match, (len(ka), len(kb))]:
+        for side, i, e, k, h, to in ((0, ia, x, ka, ha, to_a), (1, ib, y, kb, hb, to_b)):
+            for c in range(i, e):
+                keys.append(k[c])
+                has.append(h[c])
+                m = slots_of(k[c])
+                to += range(n, n + m)
+                n += m
+        ia, ib = x, y
+        if x < len(ka):
+            keys.append(ka[x])
+            has.append((ha[x] + hb[y]) & _MASK)
+            m = slots_of(ka[x])
+            to_a += range(n, n + m)
+            to_b += range(n, n + m)
+            n += m
+            ia, ib = x + 1, y + 1
+    return Wrapper(keys, has, (a.total + b.total) & _MASK, longest, a.ids + b.ids), [to_a[q] for q in sa], [to_b[q] for q in sb]
+
+
 def slots_of(key) -> int:
     return int(key == TEXT) if isinstance(key, str) else sum(slots_of(k) for k in key[1])
 
@@ -266,7 +327,11 @@ def _page_slots(items: list[Item], texts: list[str]) -> list[list[str]]:
     return out
 
 
-_PARTIAL = "host string, stream string, pages long, hashes array<long>, same array<boolean>, chars array<long>"
+_PARTIAL = "host string, sid long, stream string, pages long, hashes array<long>, same array<boolean>, chars array<long>"
+
+
+def _sid(host: str, stream: str) -> int:
+    return xxhash.xxh64_intdigest(f"{host}\0{stream}") - (1 << 63)
 
 
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,184 +342,270 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, name, texts = streams.of(page or "")
             slots = _page_slots(items, texts)
             h = [xxhash.xxh64_intdigest("\0".join(s)) - (1 << 63) for s in [*slots, texts]]
-            size = [sum(map(len, s)) for s in slots]
-            a = acc.get((host, name))
-            if a is None:
-                acc[host, name] = [1, h, [True] * len(h), size]
-            else:
-                a[0] += 1
-                a[2] = [x and p == q for x, p, q in zip(a[2], a[1], h)]
-                a[3] = [x + y for x, y in zip(a[3], size)]
-    yield from _partial((h, s, *a) for (h, s), a in acc.items())
+            _add(acc, (host, name), 1, h, [True] * len(h), [sum(map(len, s)) for s in slots])
+        if len(acc) >= 20_000:
+            yield from _partial(acc)
+            acc = {}
+    yield from _partial(acc)
+
 
+def _add(acc: dict, key: tuple, pages: int, h: list, same: list, size: list) -> None:
+    if (a := acc.get(key)) is None:
+        acc[key] = [pages, h, same, size]
+    else:
+        a[0] += pages
+        a[2] = [x and y and p == q for x, y, p, q in zip(a[2], same, a[1], h)]
+        a[3] = [x + y for x, y in zip(a[3], size)]
 
-def _partial(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-    rows = list(rows)
+
+def _partial(acc: dict) -> Iterator[pa.RecordBatch]:
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+    rows = [(h, _sid(h, s), s, *a) for (h, s), a in acc.items()]
     for i in range(0, len(rows), 500):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 500]), types)], ["host", "stream", "pages", "hashes", "same", "chars"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 500]), types)], ["host", "sid", "stream", "pages", "hashes", "same", "chars"])
+
+
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each stream, which come together, as one."""
+    acc: dict = {}
+    for b in batches:
+        for host, _, stream, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            if len(acc) >= 500 and (host, stream) not in acc:
+                yield from _partial(acc)
+                acc = {}
+            _add(acc, (host, stream), *rest)
+    yield from _partial(acc)
+
+
+# ------------------------------------------------------------------ the tree
 
+_WRAPPERS = "host string, wid long, keys string, has array<long>, total long, longest long"
+_ROUND = "old long, slots array<int>, host string, wid long, keys string, has array<long>, total long, longest long, kin long"
 
-_WRAPPER = "host string, wrapper string, pages long, streams string"
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a host are in one partition: merges its streams, aligns them, finds template texts and the content container."""
-    hosts: dict[str, dict[str, list]] = defaultdict(dict)
+
+def _kin(keys: list) -> int:
+    """A min-hash of the tokens, which wrappers with most tokens in common mostly share."""
+    flat: set = set()
+
+    def walk(k) -> None:
+        if isinstance(k, str):
+            flat.add(k)
+        else:
+            for x in k[1]:
+                walk(x)
+
+    for k in keys:
+        walk(k)
+    return min((xxhash.xxh64_intdigest(k) for k in flat), default=0) >> 1
+
+
+def _leaf(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for host, stream, pages, h, same, size in zip(*(c.to_pylist() for c in b.columns)):
-            a = hosts[host].get(stream)
-            if a is None:
-                hosts[host][stream] = [pages, h, same, size]
+        for host, sid, stream in zip(*(c.to_pylist() for c in b.columns)):
+            keys = [_as_key(k) for k in json.loads(stream)]
+            yield _written_rows([(sid, list(range(sum(map(slots_of, keys)))), host, sid, stream, [sid] * len(keys), sid, len(keys), _kin(keys))])
+
+
+def _written_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["old", "slots", "host", "wid", "keys", "has", "total", "longest", "kin"])
+
+
+def _merge_group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the wrappers of a group, which come together: each, longest first, with the first that is alike. A row for each old wrapper; that of the least id also has the new one's columns."""
+
+    def merged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        have: list[Wrapper] = []
+        place: list[dict[int, list[int]]] = []
+        host = rows[0][0]
+        for _, wid, keys, has, total, longest in sorted(rows, key=lambda r: (-len(r[3]), r[2], r[1])):
+            w = Wrapper([_as_key(k) for k in json.loads(keys)], [h & _MASK for h in has], total & _MASK, longest, [wid])
+            n = sum(map(slots_of, w.keys))
+            for k, other in enumerate(have):
+                if (got := merge(other, w)) is not None:
+                    have[k], to_a, to_b = got
+                    place[k] = {i: [to_a[q] for q in m] for i, m in place[k].items()}
+                    place[k][wid] = to_b
+                    break
             else:
-                a[0] += pages
-                a[2] = [x and y and p == q for x, y, p, q in zip(a[2], same, a[1], h)]
-                a[3] = [x + y for x, y in zip(a[3], size)]
-    for host, by in hosts.items():
-        names = sorted(by)
-        keys = [[_as_key(k) for k in json.loads(s)] for s in names]
-        repeats: dict = {}
-        for ks in keys:
-            for k in ks:
-                if not isinstance(k, str):
-                    repeats[k[1]] = k
-        opened = [_opened(ks, repeats) for ks in keys]
-        w = Wrapper([o[0] for o in opened], [by[s][0] for s in names])
-        pages = sum(by[s][0] for s in names)
-        # Pages without text, and copies of one page, say nothing of the template.
-        filled = [s for s in names if by[s][3]]
-        whole = sum(by[s][0] for s in filled)
-        several = len(filled) > 1 or any(not by[s][2][-1] for s in filled)
-        value: dict[int, set] = defaultdict(set)
-        seen: dict[int, int] = defaultdict(int)
-        place: dict[str, list[int]] = {}
-        for i, s in enumerate(names):
-            n, h, same, size = by[s]
-            to = [w.first[c] + q for c in w.at[i] for q in range(slots_of(w.keys[c]))]
-            to = [to[q] for q in opened[i][1]]
-            place[s] = to
-            for q, slot in enumerate(to):
-                value[slot].add(h[q] if same[q] else None)
-            for slot in set(to):
-                seen[slot] += n
-        template = [s for s in value if several and len(value[s]) == 1 and None not in value[s] and seen[s] == whole]
-        # Streams with the same containers of varying text are a layout; its content is in the container with most of it.
-        known = set(template)
-        paths = [_containers(o[0]) for o in opened]
-        masses: list[dict[str, int]] = []
-        layouts: dict[frozenset, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for i, s in enumerate(names):
-            mass: dict[str, int] = defaultdict(int)
-            for q, slot in enumerate(place[s]):
-                if slot not in known:
-                    mass[_anchor(paths[i][opened[i][1][q]])] += by[s][3][q]
-            masses.append(mass)
-            for c, m in mass.items():
-                layouts[frozenset(mass)][c] += m
-        content: dict[str, list[int]] = {}
-        for i, s in enumerate(names):
-            mass = layouts[frozenset(masses[i])]
-            main = min(mass, key=lambda c: (-mass[c], c)) if mass else ""
-            content[s] = sorted({slot for q, slot in enumerate(place[s]) if slot not in known and main in paths[i][opened[i][1][q]]})
-        doc = {"expression": w.expression(), "template": sorted(template), "content": content}
-        yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(doc)]), pa.array([pages], pa.int64()), pa.array([json.dumps(place)])], ["host", "wrapper", "pages", "streams"])
-
-
-def _opened(keys: list, repeats: dict) -> tuple[list, list[int]]:
-    """The stream with single groups that other streams repeat as repeated groups; slots keep their order, so each is its own."""
-    out, i = [], 0
-    groups = sorted(repeats, key=lambda g: (-len(g), repr(g)))
-    while i < len(keys):
-        for g in groups:
-            if tuple(keys[i : i + len(g)]) == g:
-                out.append(repeats[g])
-                i += len(g)
+                have.append(w)
+                place.append({wid: list(range(n))})
+        for w, m in zip(have, place):
+            wid = min(m)
+            text, kin = json.dumps(w.keys), _kin(w.keys)
+            has = [_signed(h) for h in w.has]
+            yield _written_rows([(i, slots, host, wid, *((text, has) if i == wid else (None, None)), _signed(w.total), w.longest, kin) for i, slots in m.items()])
+
+    key, got = None, []
+    for b in batches:
+        for g, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            if g != key:
+                if got:
+                    yield from merged(got)
+                key, got = g, []
+            got.append(tuple(rest))
+    if got:
+        yield from merged(got)
+
+
+def _tree(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the wrappers, (sid, wid, slots) of every stream: its wrapper, and where its slots lie in it).
+
+    Wrappers that share a min-hash are merged first, about FAN in a task, until
+    none can be; then any of a host. Streams of a host end in one wrapper if they
+    are alike.
+    """
+    parts = partitions(streams.sparkSession)
+    first = materialize(streams.select("host", "sid", "stream").mapInArrow(_leaf, _ROUND), "leaves")
+    now = first.select("host", "wid", "keys", "has", "total", "longest", "kin")
+    place = first.select(F.col("old").alias("sid"), "wid", "slots")
+    left = now.count()
+    most = lambda by: now.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    for by in (["host", "kin"], ["host"]):
+        turn = 0
+        while (n := most(by)) > 1 and (by == ["host"] or most(["host"]) > FAN):
+            sizes = now.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+            task = now.join(sizes, by).withColumn("g", F.xxhash64(*by, F.pmod(F.xxhash64("wid", F.lit(turn)), F.ceil(F.col("n") / FAN))))
+            done = task.select("g", "host", "wid", "keys", "has", "total", "longest").repartition(parts, "g").sortWithinPartitions("g", "wid")
+            done = materialize(done.mapInArrow(_merge_group, _ROUND), "round")
+            alone = now.join(sizes, by, "left_anti")
+            new = materialize(alone.unionByName(done.where("keys IS NOT NULL").select(*now.columns)), "wrappers")
+            moved = done.where("old <> wid OR keys IS NOT NULL").select(F.col("old").alias("wid"), F.col("wid").alias("new"), F.col("slots").alias("to"))
+            place = place.join(moved, "wid", "left").select("sid", F.coalesce("new", "wid").alias("wid"), F.expr("IF(to IS NULL, slots, transform(slots, q -> to[q]))").alias("slots"))
+            place = materialize(place, "places")
+            before, left = left, new.count()
+            now, turn = new, turn + 1
+            if n <= FAN or left == before:
                 break
-        else:
-            out.append(keys[i])
-            i += 1
-    # A repeated group beside single ones of the same group is one run.
-    merged: list = []
-    slots: list[int] = []
-    n = 0
-    for k in out:
-        m = slots_of(k)
-        if merged and not isinstance(k, str) and merged[-1] == k:
-            slots += list(range(n - m, n))
-        else:
-            merged.append(k)
-            slots += list(range(n, n + m))
-            n += m
-    return merged, slots
+    return now, place
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages, streams): each host's wrapper (JSON: its expression, template slots, content slots by stream) and where each stream's slots lie in it.
+# ------------------------------------------------------- template and content
 
-    ``pages`` needs url and html. All pages of a host take part. Where a stream
-    has one of a group that another repeats, both are the repeated group.
-    """
-    tune(pages.sparkSession, 500)
+
+def _masses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each stream the characters of its slots outside the template by the container that they count for. Columns: sid, wid, stream, slots, chars, template."""
+    for b in batches:
+        rows = []
+        for sid, wid, stream, slots, chars, template in zip(*(c.to_pylist() for c in b.columns)):
+            known = set(template or ())
+            paths = _containers([_as_key(k) for k in json.loads(stream)])
+            mass: dict[str, int] = defaultdict(int)
+            for q, slot in enumerate(slots):
+                if slot not in known:
+                    mass[_anchor(paths[q])] += chars[q]
+            layout = json.dumps(sorted(mass))
+            rows += [(sid, wid, layout, c, m) for c, m in mass.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["sid", "wid", "layout", "anchor", "chars"])
+
+
+def _content(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each stream (sid, stream, slots, template, main) which of its own slots are outside the template, and which are content."""
+    for b in batches:
+        rows = []
+        for sid, stream, slots, template, main in zip(*(c.to_pylist() for c in b.columns)):
+            known = set(template or ())
+            paths = _containers([_as_key(k) for k in json.loads(stream)])
+            field = [slot not in known for slot in slots]
+            rows.append((sid, slots, field, [f and main in p for f, p in zip(field, paths)]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_())))], ["sid", "slots", "field", "main"])
+
+
+def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((host, wid, keys, has, total, template) of the wrappers, (sid, slots, field, main) of every stream: where its slots lie in its wrapper, which are outside the template, and which are content)."""
+    spark = pages.sparkSession
+    tune(spark, 500)
+    parts = partitions(spark)
     src = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     part = src.mapInArrow(_gather, _PARTIAL)
-    return part.repartition(partitions(pages.sparkSession), "host").mapInArrow(_infer, _WRAPPER)
-
+    streams = materialize(part.repartition(parts, "sid").sortWithinPartitions("sid").mapInArrow(_whole, _PARTIAL), "streams")
+    tree, place = _tree(streams)
+    own = streams.join(place, "sid")
+
+    # A text is template if it is one and the same in every page with text, of at least two different pages.
+    text = own.where(F.size("slots") > 0)
+    every = text.groupBy("wid").agg(F.sum("pages").alias("whole"), ((F.count("*") > 1) | F.min(~F.element_at("same", -1))).alias("several"))
+    slot = text.select("wid", "sid", "pages", F.posexplode("slots").alias("q", "slot"), "hashes", "same")
+    slot = slot.select("wid", "sid", "pages", "slot", F.expr("IF(same[q], hashes[q], NULL)").alias("h"))
+    slot = slot.groupBy("wid", "slot", "sid", "pages").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max(F.isnull("h")).alias("varies"))
+    slot = slot.groupBy("wid", "slot").agg(F.min("h0").alias("h0"), F.max("h1").alias("h1"), F.max("varies").alias("varies"), F.sum("pages").alias("seen"))
+    template = slot.join(every, "wid").where("several AND NOT varies AND h0 = h1 AND seen = whole").groupBy("wid").agg(F.array_sort(F.collect_list("slot")).alias("template"))
+    template = materialize(template, "template")
+    own = own.join(template, "wid", "left")
+
+    # Streams with the same containers of varying text are a layout; its content is in the container with most of it.
+    mass = materialize(own.select("sid", "wid", "stream", "slots", "chars", "template").mapInArrow(_masses, "sid long, wid long, layout string, anchor string, chars long"), "masses")
+    most = mass.groupBy("wid", "layout", "anchor").agg(F.sum("chars").alias("n")).groupBy("wid", "layout").agg(F.min_by("anchor", F.struct(-F.col("n"), "anchor")).alias("main"))
+    main = mass.select("sid", "wid", "layout").distinct().join(most, ["wid", "layout"]).select("sid", "main")
+    rows = own.join(main, "sid", "left").select("sid", "stream", "slots", "template", "main")
+    rows = materialize(rows.mapInArrow(_content, "sid long, slots array<int>, field array<boolean>, main array<boolean>"), "slots")
+    return tree.join(template, "wid", "left").select("host", "wid", "keys", "has", "total", "template"), rows
 
-_OUT = "page_id long, host string, fields array<struct<slot:int,text:string>>, content string"
 
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, template) of every wrapper: its regular expression, and the slots of its template.
 
-def _fill(look):
-    types = (pa.int64(), pa.string(), pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())])), pa.string())
+    ``pages`` needs url and html. All pages of a host take part. Where one side
+    has one of a group that the other repeats, both are the repeated group.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams, known = _Streams(), {}
         for b in batches:
-            rows = []
-            extra = [c.to_pylist() for c in b.columns[3:]] or None
-            for k, (page_id, host, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    w, s = look(host) if look else (extra[0][k], extra[1][k])
-                    w = json.loads(w)
-                    known[host] = ({n: set(c) for n, c in w["content"].items()}, set(w["template"]), json.loads(s))
-                content, template, place = known[host]
-                if page is None:
-                    rows.append((page_id, host, [], None))
-                    continue
-                items, name, texts = streams.of(page)
-                at = {}
-                q = 0
-                for _, n, leaves in items:
-                    for s, i in leaves:
-                        at[i] = place[name][q + s]
-                    q += n
-                got = [(at[i], html.unescape(texts[i])) for i in sorted(at)]
-                rows.append((page_id, host, [{"slot": s, "text": t} for s, t in got if s not in template], "\n".join(t for s, t in got if s in content[name])))
-            for i in range(0, len(rows), 200):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 200]), types)], ["page_id", "host", "fields", "content"])
-
-    return run
+            text = [Wrapper([_as_key(k) for k in json.loads(keys)], has, total, 0, []).expression() for keys, has, total in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), b.column(5)], ["host", "wrapper", "template"])
+
+    return infer(pages)[0].mapInArrow(run, "host string, wrapper string, template array<int>")
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, host, sid, at, texts): each page's texts in order, and the slot of its stream that each fills."""
+    streams = _Streams()
+    types = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+    for b in batches:
+        rows = []
+        for page_id, host, page in zip(*(c.to_pylist() for c in b.columns)):
+            if page is None:
+                rows.append((page_id, host, None, None, None))
+                continue
+            items, name, texts = streams.of(page)
+            at, q = {}, 0
+            for _, n, leaves in items:
+                for s, i in leaves:
+                    at[i] = q + s
+                q += n
+            rows.append((page_id, host, _sid(host, name), [at[i] for i in sorted(at)], [html.unescape(texts[i]) for i in sorted(at)]))
+        for i in range(0, len(rows), 200):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 200]), types)], ["page_id", "host", "sid", "at", "texts"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, host, fields, content) for each row of ``pages``: the texts by slot of the host's wrapper, in order, and those of its layout's content container and all within it, a line each.
+    """(page_id, host, fields, content) for each row of ``pages``: the texts by slot of their wrapper, in order, and those of its layout's content container and all within it, a line each.
 
     ``pages`` needs page_id, url and html. Template texts (the same in every page
-    with text of a host with several distinct ones) aren't given; a host of one
-    page, or of copies of one, has none. A null
-    html has no field and a null content, an empty one no field and an empty
-    content. A null url or one without a host belongs to the host named by the
-    empty string. Repeated rows give a row each; of containers with equal text
-    the first by name is content. Other columns are ignored. An empty table gives
-    no rows. Wrappers are broadcast only while they are small, else joined on host.
+    with text of a wrapper with several distinct ones) aren't given; a wrapper of
+    one page, or of copies of one, has none. A null html has no field and a null
+    content, an empty one no field and an empty content. A null url or one
+    without a host belongs to the host named by the empty string. All of a very
+    long page counts. Repeated rows give a row each; of containers with equal
+    text the first by name is content. Other columns are ignored. An empty table
+    gives no rows. Each page meets only its own stream's slots, which are
+    broadcast only while all of them are small, else joined by stream.
     """
     spark = pages.sparkSession
     tune(spark, 500)
-    w = materialize(wrappers(pages), "wrappers")
+    slots = infer(pages)[1]
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    size = w.agg(F.sum(F.length("wrapper") + F.length("streams"))).first()[0] or 0
-    if 4 * size <= BROADCAST_LIMIT:
-        shared = spark.sparkContext.broadcast({r[0]: (r[1], r[2]) for r in w.select("host", "wrapper", "streams").collect()})
-        return src.mapInArrow(_fill(lambda h: shared.value[h]), _OUT)
-    return src.join(w.select("host", "wrapper", "streams"), "host").select("page_id", "host", "html", "wrapper", "streams").mapInArrow(_fill(None), _OUT)
+    read = src.mapInArrow(_read, "page_id long, host string, sid long, at array<int>, texts array<string>")
+    size = slots.agg(F.sum(F.size("slots") * 8 + 64)).first()[0] or 0
+    got = read.join(F.broadcast(slots) if size <= BROADCAST_LIMIT else slots, "sid", "left")
+    fields = F.expr("transform(filter(sequence(0, size(at) - 1), i -> field[at[i]]), i -> named_struct('slot', slots[at[i]], 'text', texts[i]))")
+    content = F.expr("array_join(transform(filter(sequence(0, size(at) - 1), i -> main[at[i]]), i -> texts[i]), '\n')")
+    none = F.array().cast("array<struct<slot:int,text:string>>")
+    few = F.col("at").isNull() | (F.size("at") == 0)
+    return got.select("page_id", "host", F.when(few, none).otherwise(fields).alias("fields"), F.when(F.col("at").isNull(), F.lit(None).cast("string")).when(few, F.lit("")).otherwise(content).alias("content"))

@@ -19,30 +19,29 @@ def test_against_sql(spark, name):
     assert compare.compare(spark, compare.views(SF), SF, queries.QUERIES[name], queries.ORACLE[name]) is None
 
 
-def _expanded(rows, texts):
-    """Pairs of the result with copies put in place of those that stand for them."""
-    by = {}
-    for i, t in texts:
-        if i is not None and t:
-            by.setdefault(t, set()).add(i)
-    rep = {min(v): v for v in by.values()}
-    out = set()
-    for a, b, copy in rows:
-        for x in {a} if copy else rep.get(a, {a}):
-            for y in {b} if copy else rep.get(b, {b}):
-                out.add((min(x, y), max(x, y)))
-    for v in rep.values():
-        if any(a in v and b in v for a, b, _ in rows):
-            out |= {(x, y) for x in v for y in v if x < y}
-    return out
-
-
-def _rows_of(df):
-    return [(x.doc_a, x.doc_b, x.overlap is None) for x in df.collect()]
-
-
-@pytest.mark.parametrize(("block_rows", "cold"), [(2, 2), (512, 2), (512, 24)])
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def _classes_of(pairs):
+    """{node: (class, links)} of pairs of nodes."""
+    parent, n = {}, Counter()
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return {x: (find(x), n[x]) for x in n}
+
+
+def _near(df):
+    return {x.doc_id: (x.class_id, x.links) for x in df.collect()}
+
+
+@pytest.mark.parametrize(("threshold", "block_rows", "cold"), [(0.3, 2, 2), (0.5, 512, 2), (0.5, 2, 24), (0.8, 512, 24)])
 def test_pairs_as_brute_force(spark, threshold, block_rows, cold):
     r = random.Random(7)
     words = [f"w{i}" for i in range(60)]
@@ -58,17 +57,15 @@ def test_pairs_as_brute_force(spark, threshold, block_rows, cold):
         texts += [" ".join(t)] * (1 + k % 3)
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = _rows_of(ngram_join.jaccard_pairs(docs, 3, threshold, batch_grams=200, block_rows=block_rows, cold=cold))
-    assert len(got) == len(set(got))
-    assert _expanded(got, rows) == ngram_join.brute_pairs(rows, 3, threshold)
+    got = _near(ngram_join.near_copies(docs, 3, threshold, batch_grams=200, block_rows=block_rows, cold=cold))
+    assert got == _classes_of(ngram_join.brute_pairs(rows, 3, threshold))
 
 
 def test_pairs_of_odd_rows(spark, odd, none, odd_rows):
-    texts = [r[:2] for r in odd_rows]
-    got = _rows_of(ngram_join.jaccard_pairs(odd))
-    assert _expanded(got, texts) == ngram_join.brute_pairs(texts)
-    assert {(1, 2, True), (1, 3, False), (7, 8, False), (9, 10, True)} <= set(got)
-    assert ngram_join.jaccard_pairs(none).count() == 0
+    got = _near(ngram_join.near_copies(odd))
+    assert got == _classes_of(ngram_join.brute_pairs([r[:2] for r in dict.fromkeys(odd_rows)]))
+    assert {1, 2, 3, 7, 8, 9, 10} <= set(got)
+    assert ngram_join.near_copies(none).count() == 0
     left = ngram_join.drop_near_copies(odd)
     assert left.columns == odd.columns
     assert not {r.doc_id for r in left.collect()} & {2, 3, 8, 10}
@@ -78,22 +75,26 @@ def test_pairs_of_odd_rows(spark, odd, none, odd_rows):
 
 def test_pairs_at_the_threshold(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f x y z"), (3, "a b c d e f g")]  # 4 of 9, 5 of 6
-    got = {(x.doc_a, x.doc_b): x.jaccard for x in ngram_join.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 3, 5 / 6).collect()}
-    assert got == {(1, 3): pytest.approx(5 / 6)}
+    assert _near(ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 5 / 6)) == {1: (1, 1), 3: (1, 1)}
 
 
 def test_a_repeated_row_of_a_hot_text_is_one_document(spark):
     rows = [(1, "one two three four five")] * 500 + [(2, "one two three four five six")] * 500 + [(3, "one two three four five")] * 500
-    got = _rows_of(ngram_join.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
-    assert sorted(got) == [(1, 2, False), (1, 3, True)]
+    assert _near(ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
+
+
+def test_each_text_of_a_doc_id_is_a_document(spark):
+    rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, "one two three four five"), (3, "six seven eight nine ten eleven"), (4, "quite another text than these")]
+    got = _near(ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == {1: (1, 2), 2: (1, 1), 3: (1, 1)}
 
 
 def test_a_chain_costs_no_more_than_its_links(spark):
-    """Each document shares half of its words with the next one and nothing with others."""
+    """Each document shares two thirds of its words with the next one and nothing with others."""
     n = 20_000
     docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(cast(id * 10 AS int), cast(id * 10 + 31 AS int)), x -> concat('w', x))) AS text")
-    got = ngram_join.jaccard_pairs(docs)
-    assert got.count() == n - 1 and got.where("doc_b <> doc_a + 1").isEmpty()
+    got = ngram_join.near_copies(docs)
+    assert got.count() == n and got.where("class_id <> 0 OR links <> IF(doc_id IN (0, 19999), 1, 2)").isEmpty()
 
 
 def test_components(spark):
@@ -262,7 +263,7 @@ def test_joins_in_place_of_broadcasts(spark, monkeypatch, odd, labels):
         "search": lambda: topk_search.search(odd, asked),
         "mixed": lambda: mixing.mixed(odd, labels),
         "near": lambda: ngram_join.drop_near_copies(odd),
-        "pairs": lambda: ngram_join.jaccard_pairs(odd),
+        "pairs": lambda: ngram_join.near_copies(odd),
         "pages": lambda: wrappers.extract(pages),
     }
     few = {k: sorted(map(repr, f().collect())) for k, f in of.items()}
@@ -271,51 +272,109 @@ def test_joins_in_place_of_broadcasts(spark, monkeypatch, odd, labels):
     assert {k: sorted(map(repr, f().collect())) for k, f in of.items()} == few
 
 
-def _close(x, threshold):
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = np.triu(x @ x.T, 1)
-    return {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= threshold))}
+def _linked(x, threshold):
+    """{index: (class, links)} by brute force."""
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    out = {}
+    for i in range(len(x)):
+        if i not in out:
+            seen, todo = {i}, [i]
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()]):
+                    if j not in seen:
+                        seen.add(j)
+                        todo.append(j)
+            out.update({int(j): (i, int(near[j].sum())) for j in seen})
+    return {i: x for i, x in out.items() if x[1]}
+
+
+def _vectors(spark, x, parts=3):
+    return spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, links int").repartition(parts)
+
+
+def _found(df):
+    return {r.vec_id: (r.class_id, r.links) for r in df.collect()}
+
+
+def _recall(got, want):
+    assert all(n <= want[i][1] for i, (_, n) in got.items())
+    return sum(n for _, n in got.values()) / max(1, sum(n for _, n in want.values()))
 
 
 def test_neighbours_as_brute_force(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((300, 32))
-    x = np.concatenate([base, base[:100] + 0.1 * r.standard_normal((100, 32)), np.repeat(base[:1], 60, 0) + 0.02 * r.standard_normal((60, 32))])
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, sim int")
-    got = {(y.vec_a, y.vec_b) for y in nn_descent.neighbours(df).collect()}
-    want = _close(x, 0.9)
-    assert len(got & want) >= 0.95 * len(want)
-    assert all(min(abs(np.dot(x[a], x[b]) / np.linalg.norm(x[a]) / np.linalg.norm(x[b])), 1) > 0.8999 for a, b in got)
+    tight = np.repeat(base[:1], 60, 0) + 0.02 * r.standard_normal((60, 32))
+    loose = np.repeat(base[1:2], 80, 0) + 0.22 * r.standard_normal((80, 32))  # near one another in part
+    x = np.concatenate([base, base[:100] + 0.1 * r.standard_normal((100, 32)), tight, loose, np.repeat(base[2:3], 30, 0)])
+    want = _linked(x, 0.9)
+    got = _found(nn_descent.neighbours(_vectors(spark, x)))
+    assert len(want) > 250
+    assert _recall(got, want) >= 0.97
+    assert np.mean([got.get(i, (None, 0))[1] / want[i][1] for i in want]) > 0.97
+    assert np.mean([got.get(i, (None, 0))[0] == want[i][0] for i in want]) > 0.97
+
+
+def test_balls_hold_near_vectors(spark):
+    r = np.random.default_rng(3)
+    base = r.standard_normal((40, 16))
+    x = np.concatenate([base + s * r.standard_normal((40, 16)) for s in (0.01, 0.05, 0.1, 0.2)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vec = nn_descent.unit_vectors(_vectors(spark, x))
+    radius = np.arccos(0.9) / 2 - nn_descent.MARGIN
+    centres, members = nn_descent.balls(vec, len(x), radius)
+    rho = {r.id: r.rho for r in centres.collect()}
+    of = {r.id: r.centre for r in members.collect()}
+    assert set(rho) | set(of) == set(range(len(x))) and not set(rho) & set(of) and len(of) > 60
+    for i, c in of.items():
+        assert np.arccos(min(1, x[i] @ x[c])) <= rho[c] + 1e-3 and rho[c] <= radius
 
 
 def test_neighbours_where_rounds_do_not_help(spark, monkeypatch):
-    for name, x in (("ROUNDS", 1), ("TREES", 1), ("LEAF", 0.01), ("LEAST_GAIN", 1.0)):
-        monkeypatch.setattr(nn_descent, name, x, raising=False)
+    for name, x in (("ROUNDS", 1), ("TREES", 1), ("LEAF", 0.01), ("LEAST_GAIN", 1.0), ("COVERS", 1)):
+        monkeypatch.setattr(nn_descent, name, x)
     r = np.random.default_rng(4)
     base = r.standard_normal((200, 32))
     x = np.concatenate([base, base + 0.3 * r.standard_normal((200, 32))])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    want = _close(x, 0.9)
-    got = {(y.vec_a, y.vec_b) for y in nn_descent.neighbours(df, k=1).collect()}
-    assert len(want) > 100 and len(got & want) >= 0.98 * len(want)
+    want = _linked(x, 0.9)
+    got = _found(nn_descent.neighbours(_vectors(spark, x), k=1))
+    assert sum(n for _, n in want.values()) > 200 and _recall(got, want) == 1
+
 
+def test_balls_that_are_neither_whole_nor_apart(spark, monkeypatch):
+    """Vectors of two wide balls are compared, in blocks."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 7)
+    a = np.linspace(0, 1.2, 60)
+    x = np.stack([np.cos(a), np.sin(a), 0 * a], 1)
+    want = _linked(x, 0.9)
+    assert _found(nn_descent.neighbours(_vectors(spark, x))) == want
 
-def test_audit_needs_pairs(spark):
+
+def test_audit_needs_partners(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((1500, 32))
     x[1] = x[0]
-    vec = nn_descent.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
-    edges = spark.createDataFrame([], "id long, nbr long, sim float")
-    assert nn_descent.audit(vec, edges, 0.9, sample=20) == 0.0
+    vec = nn_descent.unit_vectors(_vectors(spark, x))
+    none_ = spark.createDataFrame([], "id long, links long")
+    assert nn_descent.audit(vec, none_, 0.9, sample=20) == 0.0
 
 
 def test_neighbours_of_odd_rows(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.0, 2.0]), (7, [2.0, 0.1])]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.0, 2.0]), (7, [2.0, 0.1]), (8, [1.0, 0.0, 0.0]), (9, [2.0, 0.0, 0.0]), (10, [1.0]), (11, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert {(x.vec_a, x.vec_b) for x in nn_descent.neighbours(df).collect()} == {(1, 2), (1, 7), (2, 7)}
+    assert _found(nn_descent.neighbours(df)) == {1: (1, 2), 2: (1, 2), 7: (1, 2), 8: (8, 1), 9: (8, 1)}
     assert nn_descent.neighbours(df.where("vec_id > 100")).count() == 0
 
 
+def test_a_hot_group_is_one_ball(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((2000, 16)), np.repeat(r.standard_normal((1, 16)), 1000, 0) + 0.01 * r.standard_normal((1000, 16))])
+    got = _found(nn_descent.neighbours(_vectors(spark, x)))
+    assert all(got[i][1] >= 999 and got[i][0] == got[2000][0] for i in range(2000, 3000))
+
+
 def _page(title, items, note=None):
     extra = f"<aside><p>{note}</p></aside>" if note else ""
     body = "".join(f"<p>{i}</p>" for i in items)
@@ -355,6 +414,67 @@ def test_template_is_in_every_distinct_page(spark):
         assert [f.text for f in got[10 + k].fields] == [f"Title {k}", f"Text {k}", *(["By the same author"] if k in (1, 2) else [])]
 
 
+def _lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 22])
+def test_alignment_is_a_longest_common_subsequence(monkeypatch, cells):
+    monkeypatch.setattr(wrappers, "TABLE_CELLS", cells)
+    r = random.Random(11)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(0, 25))] for _ in range(2))
+        got = wrappers._align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        assert len(got) == _lcs(a, b)
+
+
+def _many_layouts(hosts=3, layouts=40):
+    r = random.Random(12)
+    rows = []
+    for h in range(hosts):
+        for k in range(layouts):
+            for copy in range(2):
+                body = "".join(f"<p>Text {h} {k} {copy} {i}</p>" for i in range(r.randrange(1, 4))) + ("<aside><p>Note %d</p></aside>" % k if k % 3 else "") + "".join(f"<{t}>{t} {k} {copy}</{t}>" for t in r.sample(["h2", "h3", "em", "b", "i", "u", "code", "q"], 3))
+                rows.append((len(rows), f"http://h{h}.example/{k}", f"<html><body><nav><a>Home</a></nav><article><h1>Head {k} {copy}</h1>{body}</article><footer>All rights</footer></body></html>"))
+    return rows
+
+
+@pytest.mark.parametrize("fan", [2, 4, 1000])
+def test_wrappers_of_many_layouts(spark, monkeypatch, fan):
+    """Every text of a page is in its template or in a field, in order; slots of a page differ; the tree's shape changes neither template nor content."""
+    monkeypatch.setattr(wrappers, "FAN", fan)
+    rows = _many_layouts()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in wrappers.extract(df).collect()}
+    assert len(got) == len(rows)
+    for i, _, page in rows:
+        texts = [t for k, t in wrappers.tokens(page) if k == wrappers.TEXT]
+        assert [f.text for f in got[i].fields] == [t for t in texts if t not in ("Home", "All rights")]
+        assert got[i].content == "\n".join(t for t in texts if t not in ("Home", "All rights"))  # the note is within the article
+        slots = [f.slot for f in got[i].fields]
+        assert slots == sorted(slots)
+    assert wrappers.wrappers(df).count() < 20
+
+
+def test_wrappers_stay_bounded():
+    """Streams that share little get wrappers of their own, so that none grows with the layouts."""
+    w = [wrappers.Wrapper([f"t{k}.{i}" for i in range(30)] + ["nav", "#", "/nav"], [k] * 33, k, 33, [k]) for k in range(1, 40)]
+    have = []
+    for x in w:
+        for k, y in enumerate(have):
+            if (got := wrappers.merge(y, x)) is not None:
+                have[k] = got[0]
+                break
+        else:
+            have.append(x)
+    assert len(have) > 5 and all(len(x.keys) <= wrappers.WIDTH * 33 for x in have)
+
+
 def test_pages_keep_their_texts(spark):
     pages = table(spark, SF, "pages")
     rows = wrappers.extract(pages).collect()
