@@ -42,6 +42,17 @@ def remove(blobs: DataFrame, keys: DataFrame) -> DataFrame:
     return blobs.join(keys.select("key"), "key", "left_anti")
 
 
+def removal(blobs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, existed) of the distinct keys to remove."""
+    have = blobs.select("key", F.lit(True).alias("__has")).distinct()
+    return keys.select("key").distinct().join(have, "key", "left").select("key", F.col("__has").isNotNull().alias("existed"))
+
+
+def cleared(blobs: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return blobs.where(F.lit(False))
+
+
 def scan_prefix(blobs: DataFrame, prefix: str) -> DataFrame:
     return blobs.where(F.col("key").startswith(prefix))
 
@@ -85,6 +96,12 @@ def search_keys(blobs: DataFrame, part: str) -> DataFrame:
     return blobs.where(k.contains(part) & ~k.startswith("__") & ~k.startswith("telemetry:")).select("key").distinct()
 
 
+def with_metadata(hits: DataFrame, blobs: DataFrame, key: str = "key") -> DataFrame:
+    """Search hits with the label, size and checksum of their blob, nulls where there is none."""
+    meta = blobs.select(F.col("key").alias(key), "prefix", "size", "checksum")
+    return hits.join(meta, key, "left")
+
+
 def stats(blobs: DataFrame) -> DataFrame:
     """Keys and bytes by label."""
     return blobs.groupBy("prefix").agg(F.countDistinct("key").alias("keys"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))

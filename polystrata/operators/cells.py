@@ -33,3 +33,14 @@ def in_time(samples: DataFrame, cell: str, start, end, ts: str = "ts") -> DataFr
 
 def summary(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     return samples.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def registered(dims: DataFrame, new: DataFrame) -> DataFrame:
+    """(label, added) of dimensions to register: one that is there already isn't added."""
+    have = dims.select("label", F.lit(True).alias("__has")).distinct()
+    return new.select("label").distinct().join(have, "label", "left").select("label", F.col("__has").isNull().alias("added"))
+
+
+def dropped(samples: DataFrame, dim: str, labels: Sequence) -> DataFrame:
+    """Samples without those of dropped dimensions."""
+    return samples.where(~F.col(dim).isin(list(labels)))

@@ -99,6 +99,70 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, w.alias("words"), F.size(sentences(F.col(text))).alias("sentences"), F.size(paragraphs(F.col(text))).alias("paragraphs"))
 
 
+def at_spaces(docs: DataFrame, size: int = 512, overlap: int = 50, least: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As fixed(), but a window that ends inside the text goes back to its last space; its step stays, so what is cut off is in no window where it is longer than the overlap."""
+    c = fixed(docs, size, overlap, 0, key, text).join(docs.select(key, F.length(text).alias("__n")), key)
+    inside = F.col("start") + size < F.col("__n")
+    back = F.instr(F.reverse("content"), " ")
+    cut = F.when(inside & (back > 0) & (back < F.length("content")), F.col("content").substr(F.lit(1), F.length("content") - back)).otherwise(F.col("content"))
+    return c.withColumn("content", cut).where((F.length("content") >= least) | (F.col("chunk") == 0)).drop("__n")
+
+
+def stored(chunks: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
+    """Chunks as they are kept: chunk_id, the shard they are dealt to in turn, the embedding and the terms of what is searched, which is the content between its contexts if they have any."""
+    from polystrata.operators import text, vectors
+
+    around = [F.col(c) for c in ("before", "content", "after") if c in chunks.columns]
+    searched = F.concat_ws(" ", *around)
+    return chunks.select(
+        F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("chunk").cast("string")).alias("chunk_id"), key, "chunk", "content", F.pmod("chunk", F.lit(shards)).cast("int").alias("shard"),
+        vectors.byte_embedding(F.col("content")).alias("embedding"), text.tokens(searched).alias("terms"),
+    )
+
+
+def document_of(chunk_id: Column) -> Column:
+    """The document that a chunk is of."""
+    return F.substring_index(chunk_id, "_chunk_", 1)
+
+
+def of_document(chunks: DataFrame, value, key: str = "doc_id") -> DataFrame:
+    return chunks.where(F.col(key) == value)
+
+
+def rebuilt(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text): documents put together again from chunks with their start; where two overlap the first gives the text."""
+    parts = F.array_sort(F.collect_list(F.struct("start", "content")))
+    more = lambda acc, p: F.concat(acc, F.substring(p["content"], F.greatest(F.length(acc) - p["start"], F.lit(0)) + 1, F.length(p["content"])))
+    return chunks.groupBy(key).agg(F.aggregate(parts, F.lit(""), more).alias("text"))
+
+
+def without(chunks: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Chunks but those of some documents."""
+    return chunks.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def hybrid(kept: DataFrame, query: str, n: int, weight: float = 0.7) -> DataFrame:
+    """(chunk_id, doc, score, content) of the n best chunks of stored(): the 2n nearest to the query's embedding above 0.3 and the 2n with most of its terms, combined as weight * cosine + (1 - weight) * min(tf / 10, 1)."""
+    from polystrata.operators import text, vectors
+
+    q = text.query_tokens(query)
+    v = kept.sparkSession.range(1).select(vectors.byte_embedding(F.lit(query)).alias("e")).first()[0]
+    near = vectors.scored(kept, v).where(F.col("score") > vectors.LEAST).select("chunk_id", F.round("score", 6).alias("v")).orderBy(F.desc("v"), "chunk_id").limit(2 * n)
+    tf = F.size(F.filter("terms", lambda t: t.isin(q) if q else F.lit(False)))
+    word = kept.select("chunk_id", tf.alias("k")).where("k > 0").orderBy(F.desc("k"), "chunk_id").limit(2 * n)
+    both = near.join(word, "chunk_id", "full").select("chunk_id", F.round(F.coalesce("v", F.lit(0.0)) * weight + F.least(F.coalesce("k", F.lit(0)) / 10, F.lit(1.0)) * (1 - weight), 6).alias("score"))
+    best = both.orderBy(F.desc("score"), "chunk_id").limit(n)
+    return kept.join(F.broadcast(best), "chunk_id").select("chunk_id", document_of(F.col("chunk_id")).alias("doc"), "score", "content")  # n rows
+
+
+def near(kept: DataFrame, query: str, n: int) -> DataFrame:
+    """(chunk_id, doc, score): the n chunks of stored() nearest to a query, above 0.3."""
+    from polystrata.operators import vectors
+
+    v = kept.sparkSession.range(1).select(vectors.byte_embedding(F.lit(query)).alias("e")).first()[0]
+    return vectors.knn(kept, v, n, "chunk_id").select("chunk_id", document_of(F.col("chunk_id")).alias("doc"), "score")
+
+
 def break_aware(text: str, size: int = 500, least: int = 50) -> list[str]:
     """Pieces of about ``size`` characters that end at a paragraph, else at a sentence past the half-way mark; short ones are left out."""
     out, at = [], 0

@@ -99,3 +99,86 @@ def longest(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         new = e.where(F.col("layer") == k).join(cost.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("cost") + F.col("w")).alias("cost"))
         cost = materialize(cost.unionByName(new), "cost")
     return cost
+
+
+# ------------------------------------------------------- storage and filtered queries
+
+
+def nodes_where(nodes: DataFrame, node_type: str | None = None, ids: list | None = None, properties: dict[str, str] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Nodes (id, node_type, properties) that fit all that is given, in the order of their ids where paged."""
+    if node_type is not None:
+        nodes = nodes.where(F.col("node_type") == node_type)
+    if ids is not None:
+        nodes = nodes.where(F.col("id").isin(ids) if ids else F.lit(False))
+    for k, v in (properties or {}).items():
+        nodes = nodes.where(F.try_element_at("properties", F.lit(k)) == v)
+    if offset or limit is not None:
+        nodes = nodes.orderBy("id").offset(offset)
+        nodes = nodes if limit is None else nodes.limit(limit)
+    return nodes
+
+
+def edges_where(edges: DataFrame, kind: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
+    """Edges of a kind, with inclusive bounds of their weight."""
+    for c in (None if kind is None else F.col("kind") == kind, None if least is None else F.col("weight") >= least, None if most is None else F.col("weight") <= most):
+        edges = edges if c is None else edges.where(c)
+    return edges
+
+
+def paths_between(edges: DataFrame, nodes: DataFrame, starts: DataFrame, ends: DataFrame, kind: str | None = None, depth: int = 3, limit: int | None = None) -> DataFrame:
+    """(path, weight): simple paths of 1 to ``depth`` edges of a kind from one set of ids to another, heaviest first where limited. Only known nodes count."""
+    e = edges_where(edges, kind).join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    e = e.select("src", "dst", F.col("weight").cast("double").alias("w"))
+    first = e.where("src <> dst").join(starts.select(F.col("id").alias("src")), "src", "left_semi")
+    step = first.select(F.array("src", "dst").alias("path"), F.col("w").alias("weight"))
+    out = step
+    for _ in range(depth - 1):
+        nxt = e.select(F.col("src").alias("__s"), "dst", "w")
+        step = step.join(nxt, F.element_at("path", -1) == F.col("__s")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
+        out = out.unionByName(step)
+    out = out.withColumn("__end", F.element_at("path", -1)).join(ends.select(F.col("id").alias("__end")), "__end", "left_semi").drop("__end")
+    return out if limit is None else out.orderBy(F.desc("weight"), "path").limit(limit)
+
+
+def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after deleting nodes (by their whole id) with their edges."""
+    ids = gone.select("id").distinct()
+    left = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return nodes.join(ids, "id", "left_anti"), left.select(*edges.columns)
+
+
+def by_shard(nodes: DataFrame, edges: DataFrame, shard) -> DataFrame:
+    """(shard, nodes, edges): an edge lies in the shard of its first node; ``shard`` gives the shard of an id column."""
+    n = nodes.groupBy(shard(F.col("id")).alias("shard")).agg(F.count("*").alias("nodes"))
+    e = edges.groupBy(shard(F.col("src")).alias("shard")).agg(F.count("*").alias("edges"))
+    return n.join(e, "shard", "full").select("shard", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def meet(edges: DataFrame, start, end, most_rounds: int = 64) -> DataFrame:
+    """(hops, weight) of a way of fewest edges between two nodes, searched from both ends: of those the one of least weight, which needn't be the lightest way of all; no row if there is none.
+
+    Each round goes one step from the end that has seen fewer nodes. Nodes that
+    have been seen aren't seen again, so the two frontiers shrink to nothing.
+    """
+    spark = edges.sparkSession
+    fore = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    sides = [fore, fore.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")]
+    one = lambda x: materialize(spark.range(1).select(F.lit(x).alias("id"), F.lit(0).alias("hops"), F.lit(0.0).alias("weight")), "front")
+    seen = [one(start), one(end)]
+    front, count, depth = list(seen), [1, 1], [0, 0]
+    for _ in range(most_rounds):
+        both = seen[0].join(seen[1].toDF("id", "h", "w"), "id").select((F.col("hops") + F.col("h")).alias("hops"), (F.col("weight") + F.col("w")).alias("weight"))
+        got = both.agg(F.min(F.struct("hops", "weight")).alias("x")).select("x.hops", "x.weight").where("hops IS NOT NULL")
+        if (row := got.first()) is not None and row[0] <= sum(depth):
+            return got
+        k = 0 if count[0] <= count[1] else 1
+        step = front[k].join(sides[k], F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min(F.col("weight") + F.col("w")).alias("weight"))
+        step = step.join(seen[k].select("id"), "id", "left_anti").select("id", F.lit(depth[k] + 1).alias("hops"), "weight")
+        front[k] = materialize(step, "front")
+        n = front[k].count()
+        if not n:
+            return got
+        depth[k] += 1
+        count[k] += n
+        seen[k] = seen[k].unionByName(front[k])
+    raise RuntimeError(f"no meeting after {most_rounds} rounds")

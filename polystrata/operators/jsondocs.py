@@ -56,6 +56,44 @@ def similar(docs: DataFrame, query: str, least: float, n: int, key: str, content
     return d.select(key, F.round(vectors.cosine(F.col("__v"), F.col("__q")), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(n)
 
 
+def chosen(value: dict, include: set[str] | None, exclude: set[str]) -> dict:
+    return {k: v for k, v in value.items() if k not in exclude and (include is None or k in include)}
+
+
+def field_prints(c: Column, include: list[str] | None = None, exclude: tuple[str, ...] = ()) -> Column:
+    """Map of each top-level field that is asked for to the embedding of its canonical text; empty where the text is no object, null where it doesn't parse."""
+    only, never = None if include is None else set(include), set(exclude)
+
+    @F.pandas_udf("map<string,string>")
+    def texts(p: pd.Series) -> pd.Series:
+        out = []
+        for t in p:
+            try:
+                v = None if t is None else json.loads(t)
+                out.append(None if t is None else {k: canonical_text(x, 1) for k, x in chosen(v, only, never).items()} if isinstance(v, dict) else {})
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return texts(c)
+
+
+def similar_field(docs: DataFrame, query: str, field: str, least: float, n: int, key: str, content: str) -> DataFrame:
+    """The n documents whose print of one field has at least that cosine to a JSON query's; those without the field have none."""
+    q = docs.sparkSession.range(1).select(vectors.byte_embedding(F.try_element_at(field_prints(F.lit(query)), F.lit(field))).alias("__q"))
+    d = docs.select(key, vectors.byte_embedding(F.try_element_at(field_prints(F.col(content)), F.lit(field))).alias("__v")).where("__v IS NOT NULL").crossJoin(F.broadcast(q))  # one row
+    return d.select(key, F.round(vectors.cosine(F.col("__v"), F.col("__q")), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(n)
+
+
+def stored(old: DataFrame, new: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """JSON documents (key, content, seq) after writing some, the last of a key stays, and deleting others."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(F.desc("__new"), F.desc("seq"))
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__new", "__r").join(gone.select(key).distinct(), key, "left_anti")
+
+
 def field_score(sims: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
     """Weighted mean of the fields' similarities; an absent one counts as 0 and keeps its weight."""
     total = sum(weights.values())
@@ -75,5 +113,16 @@ def squared_score(sims: Mapping[str, Column], weights: Mapping[str, float]) -> C
 
 
 def pretty(c: Column) -> Column:
-    """A JSON text parsed and written again; null where it doesn't parse."""
-    return F.to_json(F.try_parse_json(c))
+    """A JSON text parsed and written again with indents of two, keys as they are; null where it doesn't parse."""
+
+    @F.pandas_udf("string")
+    def written(p: pd.Series) -> pd.Series:
+        out = []
+        for t in p:
+            try:
+                out.append(None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return written(c)

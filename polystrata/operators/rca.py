@@ -56,12 +56,65 @@ def impact(found: DataFrame, root: DataFrame) -> DataFrame:
 
 def correlation(found: DataFrame, root: DataFrame) -> DataFrame:
     """Root by root: confidence of the pattern between them, 1 on the diagonal, 0 where there is none."""
-    p = root.select(F.col("root").alias("a")).crossJoin(root.select(F.col("root").alias("b")))  # keys that are roots, few
+    every = root.agg(F.collect_set("root").alias("r"))  # a key a root: as few as there are kinds of event
+    p = every.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b"))
     return p.join(found.select("a", "b", "confidence"), ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
 
 
+ADVICE = ("Monitor this event and alert on it", "Look for the cause before its effects", "Add a guard against the cascade", "Review changes made before it", "Keep its effects apart from it")  #: what is suggested, by place
+
+
 def recommendations(found: DataFrame) -> DataFrame:
-    """Roots by their greatest confidence; the first three are HIGH, others MEDIUM."""
+    """Roots by their greatest confidence; the first three are HIGH, others MEDIUM; suggestions go round."""
     r = found.groupBy(F.col("a").alias("root")).agg(F.max("confidence").alias("confidence"))
     n = F.row_number().over(Window.orderBy(F.desc("confidence"), "root"))  # one row a key
-    return r.withColumn("place", n).withColumn("priority", F.when(F.col("place") <= 3, "HIGH").otherwise("MEDIUM"))
+    advice = F.array(*(F.lit(x) for x in ADVICE))
+    return r.withColumn("place", n).withColumn("priority", F.when(F.col("place") <= 3, "HIGH").otherwise("MEDIUM")).withColumn("advice", F.get(advice, F.pmod(F.col("place") - 1, F.lit(len(ADVICE)))))
+
+
+def whole_windows(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """(n): how many events there are, of any key, from which all of ``keys`` occur within the window: at its time or later, in the order of time and id.
+
+    Events fall in buckets of the window's length, and only the next time of each
+    wanted key is looked up, in the event's bucket and the one after it.
+    """
+    w = seconds * 1_000_000
+    e = events.select("id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    at = F.floor(F.col("us") / w)
+    wanted = e.where(F.col("key").isin(keys)).select(F.explode(F.array(at, at - 1)).alias("bucket"), "us", "id", "key")
+    both = e.select(at.alias("bucket"), "us", "id", F.lit(None).cast("string").alias("key"), F.lit(True).alias("anchor")).unionByName(wanted.withColumn("anchor", F.lit(False)))
+    # An anchor sees itself: of rows of one time and id the anchor comes first.
+    ahead = Window.partitionBy("bucket").orderBy("us", "id", F.desc("anchor")).rowsBetween(0, Window.unboundedFollowing)
+    nexts = [F.first(F.when(F.col("key") == k, F.col("us")), ignorenulls=True).over(ahead).alias(f"n{i}") for i, k in enumerate(keys)]
+    seen = both.select("anchor", "us", *nexts).where("anchor")
+    fits = F.lit(True)
+    for i in range(len(keys)):
+        fits = fits & (F.col(f"n{i}") - F.col("us") <= w)
+    return seen.agg(F.count_if(F.coalesce(fits, F.lit(False))).alias("n"))
+
+
+def by_frequency(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(place, key, n): the members of a pattern by how often they occur in all, the rarest first, ties by key."""
+    n = events.where(F.col("key").isin(keys)).groupBy("key").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy("n", "key")))  # one row a member
+
+
+def chains(links: DataFrame, least: float = 0.0) -> list[list[str]]:
+    """Causal chains, one pass over the links (a row a pair of keys, few) by falling confidence: each goes on the first chain that ends in its cause and lacks its effect, else begins one."""
+    rows = links.where(F.col("confidence") >= least).select("cause", "effect", "confidence").collect()
+    out: list[list[str]] = []
+    for r in sorted(rows, key=lambda r: (-r["confidence"], r["cause"], r["effect"])):
+        for c in out:
+            if c[-1] == r["cause"] and r["effect"] not in c:
+                c.append(r["effect"])
+                break
+        else:
+            out.append([r["cause"], r["effect"]])
+    return out
+
+
+def report(found: DataFrame, confidence: float, least: int) -> DataFrame:
+    """(roots, patterns, links, affected, strongest): a row that sums up what was found."""
+    r = roots(found, confidence, least).agg(F.array_sort(F.collect_list("root")).alias("roots"))
+    p = found.agg(F.count("*").alias("patterns"), F.countDistinct("a", "b").alias("links"), F.countDistinct("b").alias("affected"), F.max(F.struct("confidence", F.concat_ws(" -> ", "a", "b").alias("p")))["p"].alias("strongest"))
+    return r.crossJoin(F.broadcast(p))  # one row each

@@ -8,6 +8,7 @@ primary_id and metadata.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,17 +114,32 @@ def latest(t: DataFrame, n: int, by: Sequence[str] = ("key",)) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def smoothed(t: DataFrame, n: int = 3, by: Sequence[str] = ("key",)) -> DataFrame:
-    """Moving average of the last n values of each series, partial at its start."""
-    w = Window.partitionBy(*by).orderBy("ts", "id").rowsBetween(1 - n, 0)
-    return t.withColumn("smooth", F.round(F.avg("value").over(w), 6))
+def smoothed(t: DataFrame, n: int = 3, by: Sequence[str] = ("key",), seconds: int = 3600) -> DataFrame:
+    """Moving average of the last n values of each series, partial at its start.
+
+    A series is cut into slices of time, and each slice gets the n - 1 last rows
+    before it, so that no task sorts a whole series.
+    """
+    d = t.withColumn("__at", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds))
+    tail = Window.partitionBy(*by, "__at").orderBy(F.desc("ts"), F.desc("id"))
+    last = d.select(*by, "__at", "ts", "id", "value", F.row_number().over(tail).alias("__r")).where(F.col("__r") < n)
+    ends = last.groupBy(*by, "__at").agg(F.collect_list(F.struct("ts", "id", "value")).alias("__end"))
+    # The n - 1 rows before a slice are among the ends of the n - 1 slices before it; there is a row a slice.
+    before = Window.partitionBy(*by).orderBy("__at").rowsBetween(1 - n, -1)
+    halo = ends.select(*by, "__at", F.flatten(F.collect_list("__end").over(before)).alias("__ends"))
+    halo = halo.select(*by, "__at", F.explode(F.slice(F.reverse(F.array_sort("__ends")), 1, n - 1)).alias("__h"))
+    halo = halo.select(*by, "__at", "__h.ts", "__h.id", "__h.value", F.lit(True).alias("__halo"))
+    both = d.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__at").orderBy("ts", "id").rowsBetween(1 - n, 0)
+    return both.withColumn("smooth", F.round(F.avg("value").over(w), 6)).where("NOT __halo").drop("__at", "__halo")
 
 
 def normalised(t: DataFrame, by: Sequence[str] = ("key",)) -> DataFrame:
-    """Min-max scale of each series; a constant one stays as it is."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return t.withColumn("scaled", F.round(F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(F.col("value")), 6))
+    """Min-max scale of each series; a constant one stays as it is. The bounds, one row a series, are aggregated and joined."""
+    bounds_ = t.groupBy(*by).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
+    d = t.join(bounds_.toDF(*(f"__b{i}" for i in range(len(by))), "__lo", "__hi"), reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)))).drop(*(f"__b{i}" for i in range(len(by))))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    return d.withColumn("scaled", F.round(F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(F.col("value")), 6)).drop("__lo", "__hi")
 
 
 def occurrences(t: DataFrame, seconds: float) -> DataFrame:
@@ -152,9 +168,39 @@ def harmonic_spread(t: DataFrame, by: Sequence[str] = ("key",)) -> DataFrame:
     return t.groupBy(*by).agg(F.round(h, 6).alias("harmonic"), F.round(h * h * F.sqrt(F.var_pop(x) / F.count(x)), 6).alias("spread"))
 
 
-def percentiles(t: DataFrame, by: Sequence[str] = ("key",)) -> DataFrame:
-    """Interpolated medians, 95th and 99th percentiles."""
-    return t.groupBy(*by).agg(*(F.round(F.percentile("value", p), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)))
+def percentiles(t: DataFrame, by: Sequence[str] = ("key",), shares: Sequence[float] = (0.5, 0.95, 0.99), cells: int = 4096) -> DataFrame:
+    """Interpolated percentiles of each group, exactly.
+
+    Values are counted in ``cells`` cells between a group's least and greatest, and
+    only the cells that hold a wanted rank are looked into, value by value; so no
+    task holds the values of a group. Groups without a number have nulls.
+    """
+    keys = [F.col(c) for c in by]
+    v = t.select(*keys, F.col("value").cast("double").alias("__v"))
+    span = v.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("__v").alias("__n"))
+    named = span.toDF(*(f"__b{i}" for i in range(len(by))), "__lo", "__hi", "__n")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)))
+    cell = F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells), F.lit(cells - 1))
+    placed = v.where("__v IS NOT NULL").join(named, same).select(*(f"__b{i}" for i in range(len(by))), "__v", "__n", F.when(F.col("__hi") > F.col("__lo"), cell).otherwise(0).alias("__c"))
+    ids = [f"__b{i}" for i in range(len(by))]
+    part = Window.partitionBy(*ids)
+    counts = placed.groupBy(*ids, "__c").agg(F.count("*").alias("__k"), F.first("__n").alias("__n"))
+    counts = counts.withColumn("__before", F.sum("__k").over(part.orderBy("__c")) - F.col("__k"))
+    at = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares)))
+    rank = counts.select(*ids, "__c", "__k", "__before", "__n", F.explode(at).alias("x")).withColumn("__pos", F.col("x.p") * (F.col("__n") - 1))
+    rank = rank.select(*ids, "__c", "__before", "__k", F.col("x.i").alias("i"), F.explode(F.array(F.struct(F.floor("__pos").alias("r"), (1 - F.col("__pos") + F.floor("__pos")).alias("w")), F.struct((F.floor("__pos") + 1).alias("r"), (F.col("__pos") - F.floor("__pos")).alias("w")))).alias("y"))
+    rank = rank.where("y.w > 0 AND y.r >= __before AND y.r < __before + __k").select(*ids, "__c", "__before", "i", "y.r", "y.w")
+    values = placed.join(rank.select(*ids, "__c").distinct(), _safe(placed, rank, [*ids, "__c"]), "left_semi").groupBy(*ids, "__c", "__v").agg(F.count("*").alias("__k"))
+    values = values.withColumn("__first", F.sum("__k").over(Window.partitionBy(*ids, "__c").orderBy("__v")) - F.col("__k"))
+    r = rank.toDF(*(f"r{c}" for c in ids), "rc", "before", "i", "r", "w")
+    on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"r{c}")) for c in ids)) & (F.col("__c") == F.col("rc")) & (F.col("r") - F.col("before") >= F.col("__first")) & (F.col("r") - F.col("before") < F.col("__first") + F.col("__k"))
+    got = values.join(r, on).groupBy(*ids, "i").agg(F.sum(F.col("__v") * F.col("w")).alias("q"))
+    wide = got.groupBy(*ids).agg(*(F.max(F.when(F.col("i") == i, F.round("q", 6))).alias(f"p{round(p * 100)}") for i, p in enumerate(shares)))
+    return span.select(*keys).join(wide, same, "left").drop(*ids)
+
+
+def _safe(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (a[c].eqNullSafe(b[c]) for c in columns))
 
 
 def distinct_by_fingerprint(t: DataFrame) -> DataFrame:
@@ -194,3 +240,57 @@ def time_label(ts: Column, every: int, unit: str, offset_minutes: int = 0) -> Co
     if unit == "months":
         return F.concat(F.date_format(t, "yyyy-"), F.lpad((F.floor((F.month(t) - 1) / every) * every + 1).cast("string"), 2, "0"))
     raise ValueError(f"no such unit: {unit}")
+
+
+# ------------------------------------------------------------------------ writes
+
+
+def written(t: DataFrame, path: str) -> DataFrame:
+    """Writes telemetry in folders by its hour, and reads it back; a filter on bucket reads only its folders."""
+    t.withColumn("bucket", F.date_format("ts", "yyyyMMddHH")).write.mode("append").partitionBy("bucket").parquet(path)
+    return t.sparkSession.read.schema(t.withColumn("bucket", F.lit("")).schema).parquet(path)
+
+
+def in_range(stored: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of an inclusive range of time from what written() gives: buckets outside of it are pruned."""
+    lo, hi = (F.date_format(F.lit(x).cast("timestamp_ntz"), "yyyyMMddHH") for x in (start, end))
+    return stored.where(F.col("bucket").between(lo, hi) & F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+
+
+def since(as_of: str, unit: str) -> Column:
+    """The beginning of the last hour, day, week or month (30 days) before a time."""
+    return F.lit(as_of).cast("timestamp_ntz") - F.expr({"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 30 DAYS"}[unit])
+
+
+def epoch(ts: Column) -> Column:
+    """Whole seconds since 1970, in UTC."""
+    return F.unix_seconds(ts.cast("timestamp"))
+
+
+def from_epoch(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
+
+
+def linked(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Links (primary_id, secondary_id) after writing more: each once, none of a row with itself."""
+    return links.unionByName(new).where("primary_id <> secondary_id").distinct()
+
+
+def bucket_records(t: DataFrame, newest: int | None = None) -> DataFrame:
+    """(bucket, n, ids) by minute label, ids oldest first; only of the ``newest`` rows, if given."""
+    if newest is not None:
+        t = t.orderBy(F.desc("ts"), F.desc("id")).limit(newest)
+    g = t.groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("bucket"))
+    return g.agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def hour_index(t: DataFrame, most: int = 10_000) -> DataFrame:
+    """(hour, n, ids): the first ``most`` ids of each hour, in order of time; how many there are."""
+    w = Window.partitionBy("hour").orderBy("ts", "id")
+    h = t.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts", "id").withColumn("r", F.row_number().over(w))
+    return h.groupBy("hour").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.struct("r", "id")))), lambda x: x["id"]).alias("ids"))
+
+
+def telemetry_id(t: DataFrame, *columns: str) -> Column:
+    """An id that only what a row holds decides: equal rows have equal ids on any run."""
+    return F.concat(F.lit("telemetry_"), F.substring(F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns)), 256), 1, 16))

@@ -61,6 +61,75 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
     return d.select(key, score.alias("score"), F.array_sort(F.array_distinct("__hit")).alias("matched"), text)
 
 
+# ------------------------------------------------------------------ persisted index
+
+
+def save_index(docs: DataFrame, path: str, parts: int = 16, key: str = "doc_id", text: str = "text") -> None:
+    """Writes the inverted index with each document's number of words, in folders by a hash of the term and sorted by term in each file, so that a query reads few row groups of few folders; and the documents and words there are."""
+    d = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("__t")).withColumn("words", F.size("__t"))
+    p = d.select("key", "words", F.explode("__t").alias("term")).groupBy("key", "words", "term").agg(F.count("*").cast("int").alias("tf"))
+    p = p.withColumn("part", F.pmod(F.hash("term"), F.lit(parts)))
+    p.repartition("part", "term").sortWithinPartitions("part", "term", "key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    d.agg(F.count("*").alias("documents"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+
+
+def load_index(spark, path: str, terms: list[str] | None = None, parts: int = 16) -> DataFrame:
+    """The postings (key, words, term, tf, part) of some terms, or all; folders and row groups of others aren't read."""
+    p = spark.read.parquet(f"{path}/postings")
+    if terms is None:
+        return p
+    if not terms:
+        return p.where(F.lit(False))
+    owner = spark.range(1).select(F.array_distinct(F.array(*(F.pmod(F.hash(F.lit(t)), F.lit(parts)) for t in terms)))).first()[0]
+    return p.where(F.col("part").isin(owner) & F.col("term").isin(terms))
+
+
+def search_index(spark, path: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score, bm25) from a saved index: term frequencies summed, a repeated term twice, and Okapi BM25 of the distinct terms. Only the query's postings are read and shuffled."""
+    q = query_tokens(query)
+    p = load_index(spark, path, sorted(set(q)))
+    s = spark.read.parquet(f"{path}/summary").select(F.col("documents").alias("n"), (F.col("words") / F.greatest("documents", F.lit(1))).alias("len"))
+    df = p.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
+    weigh = F.create_map(*[x for t in sorted(set(q)) for x in (F.lit(t), F.lit(q.count(t)))]) if q else F.create_map(F.lit(""), F.lit(1))
+    one = p.join(F.broadcast(df), "term").crossJoin(F.broadcast(s))  # one row
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / F.col("len")))
+    return one.groupBy("key").agg(F.sum(F.col("tf") * F.element_at(weigh, F.col("term"))).cast("long").alias("score"), F.round(F.sum(part), 6).alias("bm25"))
+
+
+def without(index: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Postings without those of some documents."""
+    return index.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def vocabulary(docs: DataFrame, word: str, budget: int, text: str = "text") -> DataFrame:
+    """(term, distance): the distinct words of all texts that at most ``budget`` substitutions, insertions, deletions and transpositions make of ``word``.
+
+    Lengths and letters bound the distance before it is worked out: an edit changes
+    the length by one at most, and the letters of at most two places.
+    """
+    w = word.lower()
+    t = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct().where(F.length("term").between(len(w) - budget, len(w) + budget))
+    have = F.array(*(F.lit(c) for c in sorted(set(w)))) if w else F.array().cast("array<string>")
+    lost = F.size(F.filter(have, lambda c: ~F.contains(F.col("term"), c)))
+    return t.where(lost <= budget).withColumn("distance", damerau(F.col("term"), F.lit(w))).where(F.col("distance") <= budget)
+
+
+def mean_similarity(a: Column, b: Column) -> Column:
+    """Mean of Jaro-Winkler and Dice similarity."""
+    return (jaro_winkler(a, b) + dice(a, b)) / 2
+
+
+def facet_page(items: DataFrame, facets: list[str], where: Column, key: str, offset: int, limit: int) -> DataFrame:
+    """(total, page, counts) after all filters: how many items fit, the keys of a page in their order, and of each facet its values by falling count, those of count 0 left out."""
+    fits = items.where(where)
+    long = fits.select(F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets))).alias("x")).where("x.value IS NOT NULL")
+    counts = long.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+    counts = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("facet", (-F.col("n")).alias("m"), "value"))), lambda x: F.concat_ws(":", x["facet"], x["value"], (-x["m"]).cast("string"))).alias("counts"))
+    page = fits.orderBy(key).offset(offset).limit(limit).agg(F.array_sort(F.collect_list(key)).alias("page"))
+    return fits.agg(F.count("*").alias("total")).crossJoin(page).crossJoin(counts)  # one row each
+
+
 def top(hits: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """The n best by score, ties by key."""
     return hits.orderBy(F.desc("score"), key).limit(n)

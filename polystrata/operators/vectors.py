@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -57,51 +56,43 @@ def knn(vectors: DataFrame, query: Sequence[float], n: int, key: str = "vec_id",
     return scored(vectors, query, vector).where(F.col("score") > least).withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), key).limit(n)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, key, score): the n nearest of every query in a batch, by blocks of matrix products.
 
-    Each partition of ``vectors`` keeps its own n best for each query, so that no
-    more than queries x n x partitions rows are shuffled. The queries travel in
-    chunks of 4096 rows, one job's broadcast at a time.
+    Queries and vectors are hashed into blocks of about ``block`` rows, and each
+    pair of blocks is multiplied in one task, which keeps the n best of each query;
+    neither side reaches the driver. Each side is shuffled once for each block of
+    the other, so the work is that of all pairs.
     """
-    spark = vectors.sparkSession
-    out = None
-    rows = ((r[0], r[1]) for r in queries.select(key, vector).toLocalIterator())
-    while part := list(itertools.islice(rows, 4096)):
-        ids = np.array([r[0] for r in part], np.int64)
-        q = np.array([r[1] for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            r, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            worst = np.full(len(ids), -np.inf)  # what a vector must reach to be among a query's n + 1 best, of which it may be one itself
-            for b in batches:
-                own = b.iloc[:, 0].to_numpy(np.int64)
-                x = np.array(b.iloc[:, 1].tolist(), np.float64)
-                for k in range(0, len(own), 1024):
-                    y = x[k : k + 1024]
-                    t = np.round(q @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)).T, 6)
-                    least = worst if len(y) <= n or np.isfinite(worst).all() else np.maximum(worst, np.partition(t, -n - 1, axis=1)[:, -n - 1])
-                    a, c = np.nonzero(t >= least[:, None])
-                    r, i, s = np.concatenate([r, a]), np.concatenate([i, own[k + c]]), np.concatenate([s, t[a, c]])
-                    o = np.lexsort((i, -s, r))
-                    r, i, s = r[o], i[o], s[o]
-                    rank = np.arange(len(r)) - np.searchsorted(r, r)
-                    worst[r[rank == n]] = s[rank == n]
-                    r, i, s = r[rank <= n], i[rank <= n], s[rank <= n]
-            if len(r):
-                d = pd.DataFrame({"query_id": ids[r], key: i, "score": s})
-                yield d[d["query_id"] != d[key]]
-
-        hits = vectors.select(key, vector).mapInPandas(run, f"query_id long, {key} long, score double")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], f"query_id long, {key} long, score double")
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))))
-    g = out.groupBy("query_id").agg(F.slice(best, 1, n).alias("b"))
-    return g.select("query_id", F.explode("b").alias("b")).select("query_id", F.col("b.k").alias(key), (-F.col("b.s")).alias("score"))
+    q = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("side")).where("id IS NOT NULL AND v IS NOT NULL")
+    x = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(1).alias("side")).where("id IS NOT NULL AND v IS NOT NULL")
+    many, all_ = (max(1, -(-d.count() // block)) for d in (q, x))
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    q = q.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(many))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(all_ - 1).cast("long"))))
+    x = x.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(all_))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        own, other = p[p["side"] == 0], p[p["side"] == 1]
+        if own.empty or other.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), key: pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        unit_ = lambda d: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array(d["v"].tolist(), np.float64))
+        ids, to, u, w = own["id"].to_numpy(), other["id"].to_numpy(), unit_(own), unit_(other)
+        got = []
+        for k in range(0, len(ids), 512):
+            s = np.round(u[k : k + 512] @ w.T, 6)
+            s[ids[k : k + 512, None] == to[None, :]] = -np.inf
+            least = np.partition(s, -min(n, s.shape[1]), axis=1)[:, -min(n, s.shape[1])]
+            r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+            o = np.lexsort((to[c], -s[r, c], r))
+            r, c = r[o], c[o]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < n
+            got.append((ids[k + r[keep]], to[c[keep]], s[r[keep], c[keep]]))
+        return pd.DataFrame({"query_id": np.concatenate([g[0] for g in got]), key: np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
+
+    out = q.unionByName(x).groupBy("a", "b").applyInPandas(run, f"query_id long, {key} long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return out.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
 def averages(vectors: DataFrame, by: str, vector: str = "embedding", digits: int = 6) -> DataFrame:
@@ -110,6 +101,39 @@ def averages(vectors: DataFrame, by: str, vector: str = "embedding", digits: int
     return g.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", F.round("m", digits).alias("m")))), lambda s: s["m"]).alias("centroid"))
 
 
+def hybrid_top(semantic: DataFrame, keyword: DataFrame, n: int, weight: float = 0.5, scale: float = 100.0, key: str = "doc_id") -> DataFrame:
+    """hybrid() of the 2n best of either list, ties by key; the n best of it."""
+    best = lambda d: d.orderBy(F.desc("score"), key).limit(2 * n)
+    return hybrid(best(semantic), best(keyword), weight, scale, key).orderBy(F.desc("score"), key).limit(n)
+
+
+def within_time(scored_rows: DataFrame, start: str, end: str, weight: float = 0.7, time_weight: float = 0.3, least: float = 0.2) -> DataFrame:
+    """Similarity and time combined: the time score is 1 inside an inclusive range and 0 outside."""
+    t = F.when(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")), 1.0).otherwise(0.0)
+    return scored_rows.withColumn("combined", F.round(weight * F.col("score") + time_weight * t, 6)).where(F.col("combined") >= least)
+
+
+def around_event(rows: DataFrame, ident, hours: float, weight: float = 0.8, time_weight: float = 0.2, least: float = 0.4) -> DataFrame:
+    """(id, combined): rows (id, ts, key, source, embedding) like one of them: of its key and source, at most ``hours`` from it, by similarity and nearness in time; not itself. No row if there is no such id."""
+    me = F.broadcast(rows.where(F.col("id") == ident).orderBy("ts").limit(1).select(F.col("ts").alias("__ts"), F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("embedding").alias("__v")))  # one row
+    gap = F.abs(F.col("ts").cast("timestamp").cast("double") - F.col("__ts").cast("timestamp").cast("double"))
+    near = rows.where(F.col("id") != ident).join(me, (F.col("key") == F.col("__key")) & (F.col("source") == F.col("__source")) & (gap <= hours * 3600))
+    score = F.round(weight * F.round(cosine(F.col("embedding"), F.col("__v")), 6) + time_weight * (1 - gap / (hours * 3600)), 6)
+    return near.select("id", score.alias("combined")).where(F.col("combined") >= least)
+
+
+def upserted(stored: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
+    """Vectors (key, modality, embedding, seq) after writing more: of a key and modality the last stays."""
+    w = Window.partitionBy(key, "modality").orderBy(F.desc("__new"), F.desc("seq"))
+    both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__new", "__r")
+
+
+def text_similarity(a: Column, b: Column) -> Column:
+    """Cosine of the byte embeddings of two texts."""
+    return cosine(byte_embedding(a), byte_embedding(b))
+
+
 def hybrid(semantic: DataFrame, keyword: DataFrame, weight: float = 0.5, scale: float = 100.0, key: str = "doc_id") -> DataFrame:
     """Full outer combination of two hit lists: weight x similarity + (1 - weight) x min(tf / scale, 1)."""
     v = semantic.select(key, F.col("score").alias("v"))

@@ -59,3 +59,39 @@ def removable(nodes: DataFrame, path: str) -> DataFrame:
     """Whether a node may go: it isn't the root and has no child."""
     kids = nodes.where(parent(F.col("path")) == path)
     return kids.agg((F.count("*") == 0).alias("empty")).select((F.col("empty") & F.lit(path != "/")).alias("removable"))
+
+
+def created(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, error) of folders or files to create: null where one can be, else 'exists', 'no parent' or 'parent is no folder'."""
+    have = nodes.select("path", F.col("kind").alias("__kind")).distinct()
+    up = have.select(F.col("path").alias("__up"), F.col("__kind").alias("__above"))
+    d = new.select(normal(F.col("path")).alias("path")).distinct().withColumn("__up", parent(F.col("path"))).join(have, "path", "left").join(up, "__up", "left")
+    return d.select("path", F.when(F.col("__kind").isNotNull(), "exists").when(F.col("__above").isNull(), "no parent").when(F.col("__above") != "folder", "parent is no folder").alias("error"))
+
+
+def targets(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(path, target, kind): each link with what it leads to; a null kind where there is nothing."""
+    t = nodes.select(F.col("path").alias("target"), "kind")
+    return links.select("path", normal(F.col("target")).alias("target")).join(t, "target", "left").select("path", "target", "kind")
+
+
+def json_nodes(files: DataFrame, content: str) -> DataFrame:
+    """(path, fields, valid) of JSON files: their top-level fields, in order; none where it isn't an object."""
+    keys = F.array_sort(F.coalesce(F.json_object_keys(F.col(content)), F.array().cast("array<string>")))
+    return files.select("path", keys.alias("fields"), F.try_parse_json(content).isNotNull().alias("valid"))
+
+
+def removed(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """``nodes`` without those of ``paths`` that may go: the root and folders with a child stay."""
+    busy = nodes.where("path <> '/'").select(parent(F.col("path")).alias("path")).distinct()
+    go = paths.select(normal(F.col("path")).alias("path")).distinct().where("path <> '/'").join(busy, "path", "left_anti")
+    return nodes.join(go, "path", "left_anti")
+
+
+def walked(nodes: DataFrame, path: str) -> DataFrame:
+    """(path, kind): the node of a path and all folders above it, as a walk from the root meets them; no row where one is missing."""
+    parts = [x for x in path.split("/") if x]
+    way = ["/", *("/" + "/".join(parts[: i + 1]) for i in range(len(parts)))]
+    got = nodes.where(F.col("path").isin(way))
+    whole = got.agg(F.countDistinct("path").alias("__n"))
+    return got.crossJoin(F.broadcast(whole)).where(F.col("__n") == len(way)).drop("__n")  # one row

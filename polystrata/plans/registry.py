@@ -41,4 +41,4 @@ def telemetry_minute_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register the other queries."""
-    from polystrata.plans import content_queries, graph_queries, stream_queries, telemetry_queries  # noqa: F401
+    from polystrata.plans import content_queries, graph_queries, relation_queries, retrieval_queries, store_queries, stream_queries, telemetry_queries  # noqa: F401

@@ -336,7 +336,7 @@ def rca_correlation(spark, d):
 @query(f"""WITH {_FOUND}, r AS (SELECT a AS root, max(confidence) AS confidence FROM found GROUP BY 1)
           SELECT root, confidence, row_number() OVER (ORDER BY confidence DESC, root) AS place, CASE WHEN row_number() OVER (ORDER BY confidence DESC, root) <= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM r""")
 def rca_recommendations(spark, d):
-    return Q.recommendations(_found(spark, d))
+    return Q.recommendations(_found(spark, d)).drop("advice")
 
 
 # -------------------------------------------------------------------------- facets
