@@ -70,16 +70,17 @@ def save_index(docs: DataFrame, path: str, parts: int = 16, key: str = "doc_id",
     p = d.select("key", "words", F.explode("__t").alias("term")).groupBy("key", "words", "term").agg(F.count("*").cast("int").alias("tf"))
     p = p.withColumn("part", F.pmod(F.hash("term"), F.lit(parts)))
     p.repartition("part", "term").sortWithinPartitions("part", "term", "key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    d.agg(F.count("*").alias("documents"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+    d.agg(F.count("*").alias("documents"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.lit(parts).alias("parts")).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
 
 
-def load_index(spark, path: str, terms: list[str] | None = None, parts: int = 16) -> DataFrame:
+def load_index(spark, path: str, terms: list[str] | None = None) -> DataFrame:
     """The postings (key, words, term, tf, part) of some terms, or all; folders and row groups of others aren't read."""
     p = spark.read.parquet(f"{path}/postings")
     if terms is None:
         return p
     if not terms:
         return p.where(F.lit(False))
+    parts = spark.read.parquet(f"{path}/summary").first()["parts"]
     owner = spark.range(1).select(F.array_distinct(F.array(*(F.pmod(F.hash(F.lit(t)), F.lit(parts)) for t in terms)))).first()[0]
     return p.where(F.col("part").isin(owner) & F.col("term").isin(terms))
 
