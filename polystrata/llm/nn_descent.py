@@ -5,7 +5,9 @@ each other, so they become a ball around it, and balls are searched in place of
 their vectors. A neighbour graph of the balls' centres begins with the neighbours
 that random hyperplanes put in one bucket, and is refined by joining neighbours
 of neighbours: at each centre all that point to it or that it points to are
-compared, if one of the two is new in a list. A centre whose list is full of
+compared, if one of the two is new in a list. Neighbours beyond twice the
+threshold's angle are in no list: whatever two near vectors are both near to is
+within that of either. A centre whose list is full of
 neighbours near enough to matter is saturated; its list is enlarged to all that
 rounds of comparing the lists of a common neighbour bring. Recall is audited
 against exact search for a sample of vectors, and rounds are added until it is
@@ -67,6 +69,18 @@ def _angle(s):
     return np.arccos(np.clip(s, -1, 1))
 
 
+def _nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of centres, whose rows end in the radius of their ball: of the angle that is left between two balls."""
+    s = x[:, :-1] @ y[:, :-1].T
+    i, j = np.flatnonzero(x[:, -1]), np.flatnonzero(y[:, -1])
+    wide = np.zeros(s.shape, bool)
+    wide[i], wide[:, j] = True, True
+    if wide.any():
+        a, b = np.nonzero(wide)
+        s[a, b] = np.cos(np.maximum(_angle(s[a, b]) - x[a, -1] - y[b, -1], 0))
+    return s
+
+
 def unit_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v): one row an id, v the unit vector as bytes of floats. Nulls, zero vectors and vectors with a null or a number that isn't finite are left out; of several vectors of an id the greatest stays."""
 
@@ -91,14 +105,14 @@ def _codes(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     return (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _buckets(tables: int, bits: int, seed: int):
-    """One row for each vector and table, with its code as bucket before its columns, of which the last is the vector."""
+def _buckets(tables: int, bits: int, seed: int, tail: int = 0):
+    """One row for each vector and table, with its code as bucket before its columns, of which the last is the vector, but for ``tail`` numbers at its end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(b.num_columns - 1))
             if len(x):
-                code = _codes(x, tables, bits, seed)
+                code = _codes(x[:, : x.shape[1] - tail], tables, bits, seed)
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(code[:, t] * tables + t, pa.int64()), *b.columns], ["bucket", *b.schema.names])
 
@@ -172,6 +186,13 @@ def balls(vec: DataFrame, n: int, radius: float) -> tuple[DataFrame, DataFrame]:
     return at, out
 
 
+def _with_radius(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centres (id, rho, v) as (id, v), v ending in rho."""
+    for b in batches:
+        tail = b.column(1).to_numpy().astype(np.float32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v + r.tobytes() for v, r in zip(b.column(2).to_pylist(), tail)], pa.binary())], ["id", "v"])
+
+
 # ---------------------------------------------------------------------- descent
 
 
@@ -197,7 +218,7 @@ def _grouped(batches: Iterable[pa.RecordBatch], most: float = math.inf) -> Itera
 def _top(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k nearest others of each row of ``x`` within it."""
     n = len(ids)
-    s = x @ x.T
+    s = _nearness(x, x)
     np.fill_diagonal(s, -2)
     k = min(k, n - 1)
     part = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-s, axis=1)[:, :k]
@@ -206,15 +227,16 @@ def _top(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     return ids[row], ids[part], s[row, part]
 
 
-def _leaves(k: int):
-    """Nearest neighbours in each bucket, in runs of at most 2 * BLOCK vectors. Columns: bucket, id, v."""
+def _leaves(k: int, floor: float):
+    """Nearest neighbours of at least ``floor`` in each bucket, in runs of at most 2 * BLOCK vectors. Columns: bucket, id, v."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sliced = (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK))
         for _, parts in _grouped(sliced, BLOCK):
             ids, x = np.concatenate([p.column(1).to_numpy() for p in parts]), np.concatenate([_matrix(p.column(2)) for p in parts])
             if len(ids) > 1:
-                yield from _edges(*_top(ids, x, k))
+                i, j, s = _top(ids, x, k)
+                yield from _edges(i[s >= floor], j[s >= floor], s[s >= floor])
 
     return run
 
@@ -262,7 +284,7 @@ def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate([_matrix(p.column(4)) for p in parts])
         for a in range(0, len(ids), BLOCK):
             for c in range(a, len(ids), BLOCK):
-                s = x[a : a + BLOCK] @ x[c : c + BLOCK].T
+                s = _nearness(x[a : a + BLOCK], x[c : c + BLOCK])
                 if a == c:
                     s[np.tril_indices(len(s))] = -2
                 i, j = np.nonzero((s > np.minimum(worst[a : a + BLOCK, None], worst[None, c : c + BLOCK])) & (fresh[a : a + BLOCK, None] | fresh[None, c : c + BLOCK]))
@@ -272,14 +294,14 @@ def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _edges(np.concatenate([ids[i[up]], ids[j[down]]]), np.concatenate([ids[j[up]], ids[i[down]]]), np.concatenate([v[up], v[down]]))
 
 
-def _descend(vec: DataFrame, graph: DataFrame, k: int, n: int, least: float) -> DataFrame:
+def _descend(vec: DataFrame, graph: DataFrame, k: int, least: float, floor: float) -> DataFrame:
     """Joins neighbours of neighbours until few list entries change. Only the k best entries of a list take part, so no vector has more than k on its side; one that very many point to has its other side split by a hash."""
     parts = partitions(vec.sparkSession)
     while True:
         rank = F.row_number().over(_by("id", F.desc("sim"), "nbr"))
         lists = graph.withColumn("rank", rank).where(F.col("rank") <= k)
-        worst = lists.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        known = vec.select("id", "v").join(worst, "id", "left").select("id", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "v")
+        worst = lists.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(floor)).cast("float").alias("worst"))
+        known = vec.select("id", "v").join(worst, "id", "left").select("id", F.coalesce("worst", F.lit(floor).cast("float")).alias("worst"), "v")
         point = lists.select(F.col("nbr").alias("at"), "id", "fresh").unionByName(lists.select(F.col("id").alias("at"), F.col("nbr").alias("id"), "fresh"))
         point = point.groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
         live = point.groupBy("at").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any AND n > 1").select("at", F.ceil(F.col("n") / BLOCK).alias("cut"))
@@ -291,7 +313,8 @@ def _descend(vec: DataFrame, graph: DataFrame, k: int, n: int, least: float) ->
         release(graph)
         graph = new
         free_shuffles(vec.sparkSession)
-        if graph.where("fresh").count() <= CHANGED * k * n:
+        entries, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
+        if fresh <= CHANGED * entries:
             return graph
 
 
@@ -312,13 +335,13 @@ def _within(threshold: float):
             side, ids = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (1, 2))
             x = np.concatenate([_matrix(p.column(3)) for p in parts])
             if (side == 2).all():
-                s = x @ x.T
+                s = _nearness(x, x)
                 s[np.tril_indices(len(s))] = -2
                 i, j = np.nonzero(s >= threshold)
                 yield from _edges(np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]]), np.tile(s[i, j], 2))
             else:
                 p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                s = x[p] @ x[q].T
+                s = _nearness(x[p], x[q])
                 i, j = np.nonzero(s >= threshold)
                 yield from _edges(np.concatenate([ids[p[i]], ids[q[j]]]), np.concatenate([ids[q[j]], ids[p[i]]]), np.tile(s[i, j], 2))
 
@@ -362,7 +385,7 @@ def _enlarge(vec: DataFrame, graph: DataFrame, k: int, least: float) -> DataFram
 
 
 def _near(vec: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[DataFrame, Broadcast]:
-    """Exact pairs of the vectors given with all of ``vec``, by blocks of BLOCK rows, and the broadcast that they need."""
+    """Exact pairs of the centres given with all of ``vec``, by blocks of BLOCK rows, and the broadcast that they need."""
     shared = vec.sparkSession.sparkContext.broadcast((ids, x))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +395,7 @@ def _near(vec: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> t
             if len(y):
                 other = b.column(0).to_numpy()
                 for a in range(0, len(ids), BLOCK):
-                    s = x[a : a + BLOCK] @ y.T
+                    s = _nearness(x[a : a + BLOCK], y)
                     i, j = np.nonzero((s >= threshold) & (ids[a : a + BLOCK, None] != other[None, :]))
                     yield from _edges(ids[a + i], other[j], s[i, j])
 
@@ -425,7 +448,7 @@ def audit(vec: DataFrame, links: DataFrame, threshold: float, sample: int = SAMP
 
 
 def exact(vec: DataFrame, threshold: float) -> DataFrame:
-    """All edges (id, nbr, sim), id < nbr, by blocks of MOST_SAMPLE vectors against all; the work is quadratic, nothing is shuffled."""
+    """All edges (id, nbr, sim), id < nbr, of centres, by blocks of MOST_SAMPLE of them against all; the work is quadratic, nothing is shuffled."""
     rows = vec.select("id", "v").toLocalIterator()
     out = vec.sparkSession.createDataFrame([], _EDGE)
     while got := list(itertools.islice(rows, MOST_SAMPLE)):
@@ -454,7 +477,7 @@ def _between(threshold: float):
 
 
 def _links(vec: DataFrame, centres: DataFrame, members: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """(id, class_id, links) of every vector, from the edges (id, nbr, sim) of the centres."""
+    """(id, class_id, links) of every vector, from the edges (id, nbr, sim) of the centres, whose sim is of the angle left between their balls."""
     theta = math.acos(threshold)
     ball = members.groupBy("centre").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     ball = centres.join(ball, centres.id == ball.centre, "left").select("id", "rho", (F.coalesce("n", F.lit(0)) + 1).alias("size"), F.least("id", F.coalesce("least", "id")).alias("least"))
@@ -462,8 +485,8 @@ def _links(vec: DataFrame, centres: DataFrame, members: DataFrame, edges: DataFr
     e = edges.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     e = e.join(ball.select(F.col("id").alias("a"), F.col("rho").alias("ra"), F.col("size").alias("na")), "a").join(ball.select(F.col("id").alias("b"), F.col("rho").alias("rb"), F.col("size").alias("nb")), "b")
     e = e.withColumns({"angle": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sim").cast("double")))), "r": F.col("ra") + F.col("rb"), "one": (F.col("na") == 1) & (F.col("nb") == 1)})
-    whole = F.when(F.col("one"), F.col("sim") >= F.lit(threshold).cast("float")).otherwise(F.col("angle") + F.col("r") <= theta - MARGIN)
-    e = e.where(F.when(F.col("one"), F.col("sim") >= F.lit(threshold).cast("float")).otherwise(F.col("angle") - F.col("r") <= theta + MARGIN)).withColumn("whole", whole)
+    whole = F.when(F.col("one"), F.col("sim") >= F.lit(threshold).cast("float")).otherwise(F.col("angle") + 2 * F.col("r") <= theta - MARGIN)
+    e = e.where(F.when(F.col("one"), F.col("sim") >= F.lit(threshold).cast("float")).otherwise(F.col("angle") <= theta + MARGIN)).withColumn("whole", whole)
     e = materialize(e.select("a", "b", "na", "nb", "whole"), "pairs")
 
     own = centres.select("id", F.col("id").alias("centre")).unionByName(members)
@@ -493,23 +516,23 @@ def _search(vec: DataFrame, threshold: float, k: int, recall: float) -> DataFram
     parts = partitions(vec.sparkSession)
     theta = math.acos(threshold)
     centres, members = balls(vec, vec.count(), theta / 2 - MARGIN)
-    n, widest = centres.agg(F.count("*"), F.max("rho")).first()
-    # Centres farther apart than this have no near vectors.
-    least = math.cos(min(math.pi, theta + 2 * (widest or 0.0) + MARGIN)) if widest else threshold - 1e-6
+    n = centres.count()
+    wide = centres.mapInArrow(_with_radius, "id long, v binary")
+    least, floor = math.cos(theta + MARGIN), math.cos(min(math.pi, 2 * theta))
     bits = max(1, min(40, round(math.log2(max(2, n / LEAF)))))
     graph, reached = None, 0.0
     for turn in itertools.count():
-        start = centres.select("id", "v").mapInArrow(_buckets(TREES, bits, 1000 + turn), "bucket long, id long, v binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
-        start = start.mapInArrow(_leaves(k), _EDGE)
+        start = wide.mapInArrow(_buckets(TREES, bits, 1000 + turn, 1), "bucket long, id long, v binary").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
+        start = start.mapInArrow(_leaves(k, floor), _EDGE)
         start = start if graph is None else graph.withColumn("fresh", F.lit(False)).unionByName(start)
         graph = materialize(start.repartition(parts, "id").mapInArrow(_best(k, least), _EDGE), "graph")
-        graph = _enlarge(centres, _descend(centres, graph, k, n, least), k, least)
+        graph = _enlarge(wide, _descend(wide, graph, k, least, floor), k, least)
         out = materialize(_links(vec, centres, members, graph.where(F.col("sim") >= least), threshold), "links")
         share = audit(vec, out, threshold)
         if share is not None and share >= recall:
             return out
         if turn + 1 >= ROUNDS and (share is None or share < reached + LEAST_GAIN):
-            return materialize(_links(vec, centres, members, exact(centres, least), threshold), "links")
+            return materialize(_links(vec, centres, members, exact(wide, least), threshold), "links")
         reached = max(reached, share or 0.0)
 
 
