@@ -47,6 +47,32 @@ def packed(docs: DataFrame, leave: tuple[str, ...] = ()) -> tuple[Column, list[C
     return row, [F.col(quoted(c)) if c in leave else F.col(name).getField(f"c{rest.index(c)}").alias(c) for c in docs.columns]
 
 
+def trim() -> None:
+    """Gives memory that a finished task no longer needs back to the machine: Python workers live on for later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """An Arrow function that trims the worker's memory once it ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished queries now."""
     import gc
@@ -168,6 +194,7 @@ def ngram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------- connected components
 
 
+@lean
 def _contract(batches: Iterable) -> Iterator:
     """Union-find over the edges of one partition; gives a star for each component found."""
     import pyarrow as pa

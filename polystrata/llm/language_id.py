@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import alpha_table, code_points, lower_table, slices, tune
+from polystrata.llm.common import alpha_table, code_points, lean, lower_table, slices, tune
 
 BINS = 1 << 16
 PENALTY = 12.0  #: nats that a switch of language costs
@@ -299,6 +299,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, least_fit:
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 bins x languages, whatever the data's size
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, text = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
@@ -318,6 +320,8 @@ def keep_accepted(docs: DataFrame, model: Model, penalty: float = PENALTY, least
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [t or "" for t in b.column(at).to_pylist()]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import BROADCAST_LIMIT, connected_components, free_shuffles, materialize, ngram_hashes, packed, partitions, slices, tune
+from polystrata.llm.common import BROADCAST_LIMIT, connected_components, free_shuffles, lean, materialize, ngram_hashes, packed, partitions, slices, tune
 
 N, THRESHOLD = 3, 0.5
 COLD = 24  #: rows of a prefix column up to which its pairs are candidates
@@ -76,6 +76,8 @@ def _incidence(n: int, blocks: int, most: int):
         for i in range(0, len(rows), 64):
             yield _batch(rows[i : i + 64])
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, keys, size = TaskContext.get().partitionId() << 14, [], [], 0
         for b in batches:
@@ -94,6 +96,9 @@ def _incidence(n: int, blocks: int, most: int):
     return run
 
 
+@lean
+
+
 def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Column block: document frequency of each n-gram; those of one document go, the others return to their row's batch."""
     keys, number = [], []
@@ -131,6 +136,8 @@ def _rows(threshold: float):
     """Row block: discards rows that can't reach the bound; the rest give the rarest of their shared n-grams as prefix, and the last of them in that order."""
     schema = pa.schema([("r", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary())])
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc: dict[int, bytes] = {}
         parts: dict[int, list] = {}
@@ -186,6 +193,8 @@ def _meet(t: float):
     prefix that ends first in the common order.
     """
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(0)
@@ -221,6 +230,8 @@ def _similar(o: np.ndarray, na: np.ndarray, nb: np.ndarray, t: float) -> np.ndar
 def _verify(t: float):
     """The candidate pairs that reach the threshold. Columns: two rows, two sizes, their n-grams."""
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c, na, nb = (b.column(k).to_numpy() for k in range(4))
@@ -290,6 +301,8 @@ def _multiply(threshold: float):
         ok = links > 0
         yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (r, links, r[_roots(near)])], ["r", "links", "peer"])
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, got = None, []
         for b in batches:

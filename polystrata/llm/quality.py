@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import labelled, tune
+from polystrata.llm.common import labelled, lean, tune
 
 BLOCK = 2048  #: bytes compressed at once
 DICT_BYTES = 1 << 18
@@ -167,6 +167,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         score = _scorer(m)
@@ -186,6 +188,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         score = _scorer(m)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import code_points, mix, slices, tune
+from polystrata.llm.common import code_points, lean, mix, slices, tune
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -307,6 +307,8 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
     """
     tune(docs.sparkSession, 500)
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in batches:
@@ -332,6 +334,8 @@ def decoded(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, text) of a table that encode() gave; null ids give a null text."""
     tune(encoded.sparkSession, 500)
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in batches:

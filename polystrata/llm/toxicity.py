@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polystrata.llm.common import code_points, labelled, slices, tune
+from polystrata.llm.common import code_points, labelled, lean, slices, tune
 
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -63,6 +63,9 @@ def _grams(texts: list[str]) -> np.ndarray:
     return ((c[:-3] * ALPHABET + c[1:-2]) * ALPHABET + c[2:-1]) * ALPHABET + c[3:]
 
 
+@lean
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ALPHABET**4, np.int64)
     for b in batches:
@@ -411,6 +414,8 @@ def toxic_documents(docs: DataFrame, model: Model) -> DataFrame:
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 27^4 floats and the lexicon, whatever the data's size
 
+    @lean
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = Scorer(m)
