@@ -1,10 +1,12 @@
 """Language ID, quality, toxicity and SentencePiece against plain Python, held-out labels and round trips."""
 
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from polystrata.llm import language_id, quality, sentence_pieces, toxicity
 from polystrata.llm.common import table
@@ -157,6 +159,49 @@ def test_dictionary_has_all_of_every_text():
     assert len(quality._dictionary(["x" * 400_000, "y"])) == quality.DICT_BYTES
 
 
+def _plain_difference(text, m):
+    """More bytes under the bad than under the good dictionary, block by block, with compressors made for each block."""
+    raw, more = text.encode("utf-8", "surrogatepass"), 0
+    for i in range(0, len(raw), quality.BLOCK):
+        size = []
+        for d in (m.good, m.bad):
+            z = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size.append(len(z.compress(raw[i : i + quality.BLOCK])))
+        more += size[1] - size[0]
+    return (more + quality.PRIOR_BYTES * m.prior) / (len(raw) + quality.PRIOR_BYTES)
+
+
+def test_scores_as_by_plain_compression(spark, odd):
+    m = quality.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    text = docs.collect()
+    got = sorted(((r.doc_id, round(r.difference, 9), round(r.score, 9), r.keep) for r in quality.classify(docs, m).collect()), key=repr)
+    want = []
+    for r in text:
+        d = _plain_difference(r.text, m) if r.text else 0.0
+        p = 1 / (1 + math.exp(-max(-30, min(30, m.slope * d + m.offset)))) if r.text else 0.0
+        want.append((r.doc_id, round(d, 9), round(p, 9), bool(r.text) and p >= m.threshold))
+    assert got == sorted(want, key=repr)
+
+
+def test_a_score_at_the_threshold_is_kept(spark):
+    docs = spark.createDataFrame([(1, "river stone winter"), (2, None)], "doc_id long, text string")
+    m = quality.Model(b"river stone", b"buy now", 0.0, 0.0, 0.0, 0.5)
+    assert {(r.doc_id, r.keep) for r in quality.classify(docs, m).collect()} == {(1, True), (2, False)}
+
+
+def test_what_only_the_end_of_a_text_shows():
+    """Good and bad texts begin alike; only what follows the first 2,000 bytes tells them apart."""
+    r = random.Random(12)
+    word = lambda abc: "".join(r.choice(abc) for _ in range(7))
+    start, ok, junk = ([word(a) for _ in range(60)] for a in ("abcdefgh", "ijklmnop", "qrstuvwx"))
+    text = lambda tail: " ".join(r.choice(start) for _ in range(260)) + " " + " ".join(r.choice(tail) for _ in range(260))
+    rows = [(k % 2, text(ok if k % 2 else junk)) for k in range(200)]
+    m = quality.fit(rows[:160])
+    score = quality._scorer(m)
+    assert all((score(t)[1] > 0.5) == bool(q) for q, t in rows[160:])
+
+
 def test_quality_of_odd_rows(spark, odd, none, labels, documents):
     m = quality.train(documents, table(spark, SF, "labels"))
     rows = quality.classify(odd, m).collect()
@@ -181,6 +226,59 @@ def test_restored_words():
             assert toxicity.restore(s, lm) == w
 
 
+def _cheapest(s, lm):
+    """Least cost of any path of the lattice, by trying all."""
+    best = math.inf
+    for path in itertools.product(*toxicity.lattice(s), [(0, 0.0)]):
+        st, cost = [0, 0, 0], 0.0
+        for sym, price in path:
+            cost += price
+            if sym < 0 or sym == 0 and st[-1] == 0:
+                continue
+            st.append(sym)
+            g = 0
+            for x in st[-4:]:
+                g = g * toxicity.ALPHABET + x
+            cost += float(lm[g])
+        best = min(best, cost)
+    return best
+
+
+def _cost_of(out, s, lm):
+    """Least cost of the paths of the lattice that spell ``out``."""
+    best = math.inf
+    for path in itertools.product(*toxicity.lattice(s), [(0, 0.0)]):
+        st, cost = [0, 0, 0], 0.0
+        for sym, price in path:
+            cost += price
+            if sym < 0 or sym == 0 and st[-1] == 0:
+                continue
+            st.append(sym)
+            g = 0
+            for x in st[-4:]:
+                g = g * toxicity.ALPHABET + x
+            cost += float(lm[g])
+        if "".join(chr(x + 96) if x else " " for x in st[3:]).strip() == out:
+            best = min(best, cost)
+    return best
+
+
+def test_restored_text_is_the_best_path():
+    r = random.Random(13)
+    counts = np.bincount(toxicity._grams(["idiot moron it is on to tom and so did sit " * 30]), minlength=toxicity.ALPHABET**4)
+    lm = toxicity.model_of(counts.astype(float))
+    for _ in range(40):
+        s = "".join(r.choice("iiddoott1103 .-$") for _ in range(r.randrange(1, 7)))
+        assert _cost_of(toxicity.restore(s, lm), s, lm) == pytest.approx(_cheapest(s, lm), abs=1e-3), s
+
+
+def test_a_score_at_the_threshold_is_toxic(spark):
+    docs = spark.createDataFrame([(1, "you idiot"), (2, "you"), (3, "you idiot"), (3, "you idiot")], "doc_id long, text string")
+    lm = toxicity.model_of(np.ones(toxicity.ALPHABET**4))
+    got = toxicity.toxic_documents(docs, toxicity.Model({"idiot": 4.0}, 1.0, -4.0, 0.5, lm)).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.doc_id)] == [1, 3, 3] and all(r.score == 0.5 for r in got)
+
+
 def test_toxic_documents_found(spark):
     r = random.Random(5)
     bad = ["grumblefool", "stinkhead", "nastyface"]
@@ -245,6 +343,20 @@ def test_pieces_as_by_plain_scan():
             assert sentence_pieces.decode(v, own) == t
 
 
+def test_long_words_as_by_plain_scan():
+    """Words of more symbols than are merged row by row."""
+    v = sentence_pieces.vocabulary(sentence_pieces.MODEL)
+    r = random.Random(14)
+    texts = ["".join(r.choice("abcdeilnorst") for _ in range(n)) for n in (sentence_pieces._LONG, sentence_pieces._LONG + 1)] + ["internationalisation" * 11, "é日" * 100]
+    keys = sentence_pieces.doc_keys(list(range(len(texts))), 5)
+    for p in (0.0, 0.3):
+        ids, off = sentence_pieces.encode_batch(v, texts, keys, p)
+        for k, t in enumerate(texts):
+            own = ids[off[k] : off[k + 1]].tolist()
+            assert own == sentence_pieces.brute_encode(v, t, keys[k], p)
+            assert sentence_pieces.decode(v, own) == t
+
+
 def test_pieces_without_dropout_as_the_library():
     import sentencepiece
 
