@@ -150,7 +150,7 @@ def hybrid(kept: DataFrame, query: str, n: int, weight: float = 0.7) -> DataFram
     near = vectors.scored(kept, v).where(F.col("score") > vectors.LEAST).select("chunk_id", F.round("score", 6).alias("v")).orderBy(F.desc("v"), "chunk_id").limit(2 * n)
     tf = F.size(F.filter("terms", lambda t: t.isin(q) if q else F.lit(False)))
     word = kept.select("chunk_id", tf.alias("k")).where("k > 0").orderBy(F.desc("k"), "chunk_id").limit(2 * n)
-    both = near.join(word, "chunk_id", "full").select("chunk_id", F.round(F.coalesce("v", F.lit(0.0)) * weight + F.least(F.coalesce("k", F.lit(0)) / 10, F.lit(1.0)) * (1 - weight), 6).alias("score"))
+    both = near.join(word, "chunk_id", "full").select("chunk_id", F.round(F.coalesce("v", F.lit(0.0)) * weight + F.least(F.coalesce("k", F.lit(0)) / 10, F.lit(1.0)) * (1 - weight), 7).alias("score"))  # a place more than the cosine has: nothing is rounded at a half
     best = both.orderBy(F.desc("score"), "chunk_id").limit(n)
     return kept.join(F.broadcast(best), "chunk_id").select("chunk_id", document_of(F.col("chunk_id")).alias("doc"), "score", "content")  # n rows
 

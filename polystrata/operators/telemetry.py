@@ -246,14 +246,14 @@ def time_label(ts: Column, every: int, unit: str, offset_minutes: int = 0) -> Co
 
 
 def written(t: DataFrame, path: str) -> DataFrame:
-    """Writes telemetry in folders by its hour, and reads it back; a filter on bucket reads only its folders."""
-    t.withColumn("bucket", F.date_format("ts", "yyyyMMddHH")).write.mode("append").partitionBy("bucket").parquet(path)
+    """Writes telemetry in folders by its day, and reads it back; a filter on bucket reads only its folders. A day is written by one task, or by several where it is large."""
+    t.withColumn("bucket", F.date_format("ts", "yyyyMMdd")).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
     return t.sparkSession.read.schema(t.withColumn("bucket", F.lit("")).schema).parquet(path)
 
 
 def in_range(stored: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of an inclusive range of time from what written() gives: buckets outside of it are pruned."""
-    lo, hi = (F.date_format(F.lit(x).cast("timestamp_ntz"), "yyyyMMddHH") for x in (start, end))
+    lo, hi = (F.date_format(F.lit(x).cast("timestamp_ntz"), "yyyyMMdd") for x in (start, end))
     return stored.where(F.col("bucket").between(lo, hi) & F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 

@@ -74,7 +74,7 @@ _KEPT = f"octet_length(encode(w)) BETWEEN 2 AND 50 AND w NOT IN {X.STOP}"
 
 @query(f"""WITH {_CE}, tk AS (SELECT key, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS w FROM cc), st AS (SELECT key, {_STEM} AS term FROM tk WHERE {_KEPT}),
           kw AS (SELECT key, count(*) AS k FROM st WHERE term IN ({_in(Q)}) GROUP BY 1 ORDER BY k DESC, key LIMIT 20), vs AS (SELECT key, score AS v FROM sims WHERE score > 0.3 ORDER BY score DESC, key LIMIT 20),
-          b AS (SELECT key, round(coalesce(v, 0) * 0.7 + least(coalesce(k, 0) / 10, 1) * 0.3, 6) AS score FROM vs FULL JOIN kw USING (key) ORDER BY score DESC, key LIMIT 10)
+          b AS (SELECT key, round(coalesce(v, 0) * 0.7 + least(coalesce(k, 0) / 10, 1) * 0.3, 7) AS score FROM vs FULL JOIN kw USING (key) ORDER BY score DESC, key LIMIT 10)
           SELECT key AS chunk_id, split_part(key, '_chunk_', 1) AS doc, score, content FROM b JOIN cc USING (key)""")
 def chunk_hybrid(spark, d):
     return K.hybrid(K.stored(K.fixed(_docs(spark, d)), 4), Q, 10)

@@ -216,7 +216,7 @@ def file_words(spark, d):
 
 @query(f"WITH {_T} SELECT id, ts, key FROM t WHERE ts BETWEEN '2024-01-05 03:30:00' AND '2024-01-06 17:45:00'")
 def telemetry_pruned_range(spark, d):
-    """Telemetry written by hour and read again: only the folders of the range are."""
+    """Telemetry written by day and read again: only the folders of the range are."""
     stored = T.written(_events(spark, d), _place(spark, "telemetry"))
     return T.in_range(stored, "2024-01-05 03:30:00", "2024-01-06 17:45:00").select("id", "ts", "key")
 
