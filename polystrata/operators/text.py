@@ -48,6 +48,15 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def may_hold(text: Column, terms: list[str]) -> Column:
+    """Whether a text has any of some stems in it: a test on the raw text, before it is cut into words; one that fails has none of them as a term."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for t in sorted(set(terms)):
+        out = out | F.contains(low, F.lit(t))
+    return out
+
+
 def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, matched): term frequencies of the query's terms summed, a repeated term twice.
 
@@ -56,7 +65,7 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
     q = query_tokens(query)
     hit = F.filter(tokens(F.col(text)), lambda t: t.isin(*q) if q else F.lit(False))
     weigh = F.create_map(*[x for t in sorted(set(q)) for x in (F.lit(t), F.lit(q.count(t)))]) if q else F.create_map()
-    d = docs.select(key, text, hit.alias("__hit")).where(F.size("__hit") > 0)
+    d = docs.where(may_hold(F.col(text), q)).select(key, text, hit.alias("__hit")).where(F.size("__hit") > 0)
     score = F.aggregate("__hit", F.lit(0).cast("long"), lambda a, t: a + F.element_at(weigh, t)) if q else F.lit(0).cast("long")
     return d.select(key, score.alias("score"), F.array_sort(F.array_distinct("__hit")).alias("matched"), text)
 
@@ -143,7 +152,7 @@ def _count_of(column: str, term: str) -> Column:
 def log_tf(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Mean over the query's terms of (1 + log10 count) / (1 + count / words)."""
     q = sorted(set(query_tokens(query)))
-    d = docs.select(key, tokens(F.col(text)).alias("__t"))
+    d = docs.where(may_hold(F.col(text), q)).select(key, tokens(F.col(text)).alias("__t"))
     total = F.lit(0.0)
     for t in q:
         c = _count_of("__t", t)
@@ -157,7 +166,7 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, key: str
     d = docs.select(key, tokens(F.col(text)).alias("__t"))
     count = {t: _count_of("__t", t) for t in q}
     stats = d.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("len"), *(F.count(F.when(c > 0, 1)).alias(f"df{i}") for i, c in enumerate(count.values())))
-    s = d.crossJoin(F.broadcast(stats))  # one row
+    s = docs.where(may_hold(F.col(text), q)).select(key, tokens(F.col(text)).alias("__t")).crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)
     for i, c in enumerate(count.values()):
         idf = F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
