@@ -90,7 +90,7 @@ def _dictionary(texts: list[str]) -> bytes:
         for j in range(m):
             size = share * (j + 1) // m - share * j // m
             begin, end = len(t) * j // m, len(t) * (j + 1) // m
-            at = begin + xxhash.xxh64_intdigest(t, j) % (end - begin - size + 1)
+            at = min(begin + xxhash.xxh64_intdigest(t, j) % max(1, end - begin - size + 1), len(t) - size)  # a text hardly longer than its share has parts of less than a piece
             parts.append(t[at : at + size])
     return b"".join(reversed(parts))[-DICT_BYTES:]
 

@@ -155,6 +155,9 @@ def test_dictionary_has_all_of_every_text():
     d = quality._dictionary(texts).decode()
     assert len(d) <= quality.DICT_BYTES
     assert all(f"{k:04d}]" in d and f"{k:04d}>" in d for k in range(1500))
+    for n in (*range(150, 200), 700, 701, 702, 1399):  # texts about as long as their share
+        d = quality._dictionary([f"{k:07d}" * (n // 7) + "x" * (n % 7 + 1) for k in range(quality.DICT_BYTES // n)])
+        assert 0 < len(d) <= quality.DICT_BYTES
     assert quality._dictionary(["short", "short", "a" * 10]) == b"a" * 10 + b"short"
     assert len(quality._dictionary(["x" * 400_000, "y"])) == quality.DICT_BYTES
 
