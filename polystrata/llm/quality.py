@@ -26,7 +26,7 @@ PIECE = 64  #: bytes, about, of a piece of a long text in a dictionary
 LEVEL = 6
 PRIOR_BYTES = 100  #: a text counts as having so many bytes more, of the good texts' median difference: a few words show little
 TRAIN_ROWS = 3000  #: labelled rows of each class, about, that dictionaries and calibration are fitted on
-KEEP_GOOD = 0.995  #: share of held-out good rows that the threshold keeps; of a few thousand, so few are above it that one more would not be a measure
+KEEP_GOOD = 0.995  #: share of held-out good rows that the threshold keeps
 
 
 @dataclass(frozen=True)
