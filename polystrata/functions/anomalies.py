@@ -94,13 +94,14 @@ def breakouts(x: np.ndarray, least: int = 24, beta: float = 0.008, degree: int =
     area = lambda a, b, e, f: c[b, f] - c[a, f] - c[b, e] + c[a, e]  # noqa: E731  sum of d over [a, b) x [e, f)
     best, prev, count = np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
     for s in range(2 * least, n + 1):
-        for t in range(least, s - least + 1):
-            u = prev[t]  # the segment before the break begins here
-            a, b = t - u, s - t
-            gain = 2 * area(u, t, t, s) / (a * b) - area(u, t, u, t) / (a * a) - area(t, s, t, s) / (b * b)
-            value = best[t] + gain * a * b / (a + b) / n - beta * (count[t] + 1) ** (degree - 1)
-            if value > best[s]:
-                best[s], prev[s], count[s] = value, t, count[t] + 1
+        t = np.arange(least, s - least + 1)
+        u = prev[t]  # the segment before the break begins here
+        a, b = t - u, s - t
+        gain = 2 * area(u, t, t, s) / (a * b) - area(u, t, u, t) / (a * a) - area(t, s, t, s) / (b * b)
+        value = best[t] + gain * a * b / (a + b) / n - beta * (count[t] + 1) ** (degree - 1)
+        k = int(value.argmax())
+        if value[k] > best[s]:
+            best[s], prev[s], count[s] = value[k], t[k], count[t[k]] + 1
     out, s = [], n
     while prev[s]:
         out.append(int(prev[s]))
@@ -169,7 +170,7 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
 
 
 #: Of a time slice: the most points that a worker looks at at once.
-SLICE = 4096
+SLICE = 2048
 
 
 def per_series(t: DataFrame, what: str, by: str = "key", hours: float = 24 * 7, **options) -> DataFrame:
