@@ -26,7 +26,7 @@ def tune(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what one Arrow batch holds, so that long texts can't fill a Python worker; executors get this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,6 +29,7 @@ PENALTY = 12.0  #: nats that a switch of language costs
 LEAST_WORDS_SHARE = 0.5  #: of the letters of an accepted text, the least share in words that fit their language
 TRAIN_ROWS = 400  #: labelled rows a language, at most in expectation, that the scores and the floor are fitted on
 FAR = 1000.0  #: nats by which a language that isn't a candidate of a word is below its best one
+AT_ONCE = 1 << 17  #: characters, about, that are labelled at once; it bounds a worker's memory and changes no label
 OWN_SCRIPT = 0.05  #: of the letters of a language's training texts, the share from which a script is one that it is written in
 
 #: Scripts besides Latin with the language that stands for them where no trained language uses them, and their code point ranges.
@@ -103,7 +104,7 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.05) -> Model:
     letters = np.zeros((len(langs), len(SCRIPTS) + 2))
     for k, lang in enumerate(langs):
         own = [t for a, t in rows if a == lang]
-        for i, j in slices(own):
+        for i, j in slices(own, AT_ONCE):
             begin, end, kind, _, bins, _, _ = words_of(own[i:j])
             counts[k] += np.bincount(bins, minlength=BINS)
             letters[k] += np.bincount(kind, weights=end - begin, minlength=letters.shape[1])
@@ -114,7 +115,7 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.05) -> Model:
     means = []
     for k, lang in enumerate(langs):
         own = [t for a, t in rows if a == lang]
-        for i, j in slices(own):
+        for i, j in slices(own, AT_ONCE):
             begin, end, kind, _, bins, first, _ = words_of(own[i:j])
             if len(begin):
                 means.append(np.add.reduceat(table[bins, k], first) / (end - begin))
@@ -304,7 +305,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, least_fit:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, text = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in slices(text):
+            for i, j in slices(text, AT_ONCE):
                 yield _arrow(doc[i:j], label(text[i:j], shared.value, penalty), least_fit)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -326,7 +327,7 @@ def keep_accepted(docs: DataFrame, model: Model, penalty: float = PENALTY, least
         for b in batches:
             text = [t or "" for t in b.column(at).to_pylist()]
             ok = []
-            for i, j in slices(text):
+            for i, j in slices(text, AT_ONCE):
                 ok += [r[0] is not None and r[2] >= least_fit for r in label(text[i:j], shared.value, penalty)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
