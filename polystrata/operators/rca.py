@@ -83,9 +83,9 @@ def whole_windows(events: DataFrame, keys: list[str], seconds: int) -> DataFrame
     at = F.floor(F.col("us") / w)
     wanted = e.where(F.col("key").isin(keys)).select(F.explode(F.array(at, at - 1)).alias("bucket"), "us", "id", "key")
     both = e.select(at.alias("bucket"), "us", "id", F.lit(None).cast("string").alias("key"), F.lit(True).alias("anchor")).unionByName(wanted.withColumn("anchor", F.lit(False)))
-    # An anchor sees itself: of rows of one time and id the anchor comes first.
-    ahead = Window.partitionBy("bucket").orderBy("us", "id", F.desc("anchor")).rowsBetween(0, Window.unboundedFollowing)
-    nexts = [F.first(F.when(F.col("key") == k, F.col("us")), ignorenulls=True).over(ahead).alias(f"n{i}") for i, k in enumerate(keys)]
+    # Backwards, so that the frame only grows: one with no end is worked out anew for each row. An anchor sees itself: of rows of one time and id it comes last.
+    ahead = Window.partitionBy("bucket").orderBy(F.desc("us"), F.desc("id"), "anchor").rowsBetween(Window.unboundedPreceding, 0)
+    nexts = [F.last(F.when(F.col("key") == k, F.col("us")), ignorenulls=True).over(ahead).alias(f"n{i}") for i, k in enumerate(keys)]
     seen = both.select("anchor", "us", *nexts).where("anchor")
     fits = F.lit(True)
     for i in range(len(keys)):
