@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,16 +25,79 @@ def followers(events: DataFrame, seconds: int) -> DataFrame:
     return left.join(right, "bucket").where(later & (F.col("us_b") - F.col("us_a") <= w)).select("id_a", "a", "id_b", "b", ((F.col("us_b") - F.col("us_a")) / 1e6).alias("gap"))
 
 
+def _by_window(events: DataFrame, seconds: int, count: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """(a, b, n, s, us): what ``count`` makes of the window of each event, summed by both keys.
+
+    As in followers(), but no pair is made: a task has a bucket's events and those
+    of the next one in order, and works out where each event's window begins and
+    ends in it. ``count`` gives (code of a, code of b, n, sums of the gaps' seconds
+    and microseconds, which are apart so that none grows too large) from the times, the codes of the keys, the places of the bucket's
+    own events and the begin and end of their windows; it may go over the rows once
+    for each key.
+    """
+    w = seconds * 1_000_000
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("us", "ascending"), ("id", "ascending")], null_placement="at_start")).combine_chunks()
+        us, ids = t["us"].to_numpy(), t["id"]
+        d = pc.dictionary_encode(t["key"], null_encoding="encode").combine_chunks()
+        names, code = d.dictionary, d.indices.to_numpy()
+        new = np.ones(len(us), bool)
+        new[1:] = (us[1:] != us[:-1]) | pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy()
+        begin = np.append(np.flatnonzero(new), len(us))[np.cumsum(new)]  # after all rows of one time and id
+        begin = np.where(pc.is_null(ids).to_numpy(), np.searchsorted(us, us, "right"), begin)  # nothing comes after a null id at its time
+        at = np.flatnonzero(t["own"].to_numpy())
+        got = [x for x in count(us, code, at, begin[at], np.searchsorted(us, us[at] + w, "right")) if len(x[0])]
+        x, y, *sums = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int64),) * 5
+        return pa.table({"a": names.take(pa.array(x)), "b": names.take(pa.array(y)), **{c: pa.array(v, pa.int64()) for c, v in zip(("n", "s", "us"), sums)}})
+
+    e = events.select("id", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us IS NOT NULL")
+    at = F.floor(F.col("us") / w)
+    e = e.select("*", F.inline(F.array(F.struct(at.alias("bucket"), F.lit(True).alias("own")), F.struct((at - 1).alias("bucket"), F.lit(False).alias("own")))))
+    return e.groupBy("bucket").applyInArrow(run, "a string, b string, n long, s long, us long").groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "us")))
+
+
+def _sums(of: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct numbers of ``of``, and sums of each of ``values`` by them."""
+    if not len(of):
+        return [of, *values]
+    o = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.diff(of[o], prepend=of[o[0]] - 1))
+    return [of[o][first], *(np.add.reduceat(v[o], first) for v in values)]
+
+
+def _all_pairs(us, code, at, begin, end) -> Iterator[tuple]:
+    """Every event of a window: differences of running counts and sums of each key."""
+    rel = us - us[0]
+    for b in np.unique(code):
+        n, s = np.append(0, np.cumsum(code == b)), np.append(0, np.cumsum(np.where(code == b, rel, 0)))
+        c = n[end] - n[begin]
+        a, c, *gaps = _sums(code[at], c, *divmod(s[end] - s[begin] - rel[at] * c, 1_000_000))
+        yield a[c > 0], np.full((c > 0).sum(), b, a.dtype), c[c > 0], *(g[c > 0] for g in gaps)
+
+
+def _first_of_others(us, code, at, begin, end) -> Iterator[tuple]:
+    """Of each other key the first event of a window."""
+    for b in np.unique(code):
+        of = np.flatnonzero(code == b)
+        nxt = np.append(of, len(us))[np.searchsorted(of, begin)]
+        hit = (nxt < end) & (code[at] != b)
+        a, *sums = _sums(code[at[hit]], np.ones(hit.sum(), np.int64), *divmod(us[nxt[hit]] - us[at[hit]], 1_000_000))
+        yield a, np.full(len(a), b, a.dtype), *sums
+
+
+def _mean_gap() -> Column:
+    return F.round((F.col("s") * 1e6 + F.col("us")) / F.col("n") / 1e6, 6).alias("mean_gap")
+
+
 def co_occurrences(events: DataFrame, seconds: int) -> DataFrame:
     """(a, b, n, mean_gap): how often b follows a within the window."""
-    return followers(events, seconds).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"))
+    return _by_window(events, seconds, _all_pairs).select("a", "b", "n", _mean_gap())
 
 
 def patterns(events: DataFrame, seconds: int, support: float, confidence: float, least: int = 2) -> DataFrame:
     """(a, b, n, support, confidence, mean_gap): anchors of key a that any b follows in time, over the number of windows and of a's."""
-    pairs = followers(events, seconds).where("a <> b")
-    first = pairs.groupBy("a", "b", "id_a").agg(F.min("gap").alias("gap"))
-    n = first.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"))
+    n = _by_window(events.where("key IS NOT NULL"), seconds, _first_of_others).select("a", "b", "n", _mean_gap())
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     whole = events.agg(F.greatest(F.floor((F.max(us) - F.min(us)) / (seconds * 1_000_000)), F.lit(1)).alias("windows"))
     of = events.groupBy(F.col("key").alias("a")).agg(F.count("*").alias("of_a"))

@@ -4,7 +4,6 @@ import datetime
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from polystrata.operators import rca
 
@@ -30,3 +29,27 @@ def test_no_frame_without_end(spark):
         want += {"a", "b"} <= later
     assert got.first()[0] == want
     assert "unboundedfollowing" not in _plan(got).lower()
+
+
+def test_followers_are_counted_without_pairs(spark):
+    """Counts and gaps by windows are those of all pairs, with ties of times, equal and null ids, null keys and times."""
+    r = random.Random(6)
+    rows = [(r.choice([None, *range(40)]), r.choice([None, *range(0, 300, 3)]), r.choice(["a", "b", "c", None])) for _ in range(150)] + [(900, 9000, "a"), (901, 9030, "b"), (902, 9031, "z")]
+    e = _events(spark, rows)
+    pairs = [(x, j, p, q, t - s) for x, (i, s, p) in enumerate(rows) for j, t, q in rows if s is not None and t is not None and 0 <= t - s <= 30 and (t > s or None not in (i, j) and j > i)]
+    assert rca.followers(e, 30).count() == len(pairs)
+    want, first = {}, {}
+    for x, _, p, q, gap in pairs:
+        want.setdefault((p, q), []).append(gap)
+        if p is not None and q is not None and p != q:
+            first.setdefault((p, q), {})[x] = min(gap, first.get((p, q), {}).get(x, 99))
+    got = rca.co_occurrences(e, 30)
+    assert {(x.a, x.b): (x.n, x.mean_gap) for x in got.collect()} == {k: (len(v), pytest.approx(sum(v) / len(v), abs=2e-6)) for k, v in want.items()}
+    of = {k: sum(p == k for _, _, p in rows) for k in "abcz"}
+    found = rca.patterns(e, 30, 0.0, 0.0, 1)
+    assert {(x.a, x.b): (x.n, x.confidence, x.mean_gap) for x in found.collect()} == {
+        k: (len(v), pytest.approx(len(v) / of[k[0]], abs=2e-6), pytest.approx(sum(v.values()) / len(v), abs=2e-6)) for k, v in first.items()
+    }
+    for df in (got, found):  # a bucket's events meet in a task; they aren't joined with one another
+        assert "FlatMapGroupsInArrow" in _plan(df) and "bucket" not in "".join(x for x in _plan(df).splitlines() if "Join" in x)
+    assert rca.co_occurrences(e.where("false"), 30).count() == rca.patterns(e.where("false"), 30, 0.0, 0.0).count() == 0
