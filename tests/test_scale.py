@@ -2,10 +2,14 @@
 
 import datetime
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
-from polystrata.operators import rca
+from polystrata.operators import rca, vectors
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -53,3 +57,43 @@ def test_followers_are_counted_without_pairs(spark):
     for df in (got, found):  # a bucket's events meet in a task; they aren't joined with one another
         assert "FlatMapGroupsInArrow" in _plan(df) and "bucket" not in "".join(x for x in _plan(df).splitlines() if "Join" in x)
     assert rca.co_occurrences(e.where("false"), 30).count() == rca.patterns(e.where("false"), 30, 0.0, 0.0).count() == 0
+
+
+def test_embeddings_by_batches(spark):
+    """Embeddings are made in Arrow's own buffers, not as lists of Python numbers, of which a batch holds millions; a binary one has no expression of 384 parts."""
+    r = random.Random(7)
+    texts = ["", None, "a", "Ab ab é", "x" * 384, "y" * 999, "z" * 1000] + ["".join(r.choice("abcé ") for _ in range(r.choice([30, 700, 2500]))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    got = df.select("t", vectors.byte_embedding(F.col("t")).alias("b"), vectors.word_embedding(F.col("t")).alias("w"), vectors.binary_embedding(F.encode("t", "UTF-8")).alias("x"))
+    assert vectors.byte_embedding.evalType == vectors.word_embedding.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert "ArrowEvalPython" in _plan(got.select("x"))
+    for t, b, w, x in got.collect():
+        v = np.zeros(128)
+        for word, c in Counter((t or "").lower().split()).items():
+            h = 0
+            for y in word.encode():
+                h = (h * 31 + y) % 2**32
+            v[h % 128] += 1 + np.log10(c)
+        assert w == pytest.approx((v / (np.linalg.norm(v) or 1)).tolist())
+        if t is None:
+            assert b is None and x is None
+            continue
+        d, v = t.encode(), np.zeros(384)
+        for i, y in enumerate(d):
+            v[i % 384] += y / 255
+        assert b == pytest.approx((v / (np.linalg.norm(v) or 1)).tolist())
+        assert x == pytest.approx([i / 384 if len(d) < 1000 else d[i * (len(d) // 384)] / 255 for i in range(384)])
+
+
+def test_scores_of_odd_vectors(spark):
+    """Scores by blocks are those of the expression, and are worked out once."""
+    rows = [[1.0, 2.0, 3.0], [0.0, 0.0, 0.0], None, [], [1.0, None, 3.0], [1.0], [1.0, 2.0, 3.0, 4.0], [float("nan"), 1.0, 1.0], [-1.0, 0.5, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id int, embedding array<double>").repartition(1)
+    for q in ([1.0, 2.0, 3.0], [0.5, -1.0], [0.0, 0.0], []):
+        n, v = float(np.linalg.norm(q)), F.col("embedding")
+        own = vectors.norm(v) * n
+        want = df.select("vec_id", F.when(own > 0, vectors.dot(v, vectors.literal(q or [0.0])) / own).otherwise(0.0)).collect()
+        got = dict(vectors.scored(df, q).select("vec_id", "score").collect())
+        assert got == {i: pytest.approx(s, nan_ok=True) for i, s in want}
+    p = _plan(vectors.knn(df, [1.0, 2.0, 3.0], 3))
+    assert p.count("ArrowEvalPython") == 1 and "lambda" not in p
