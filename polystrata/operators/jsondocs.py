@@ -51,9 +51,9 @@ def fingerprint(c: Column) -> Column:
 
 def similar(docs: DataFrame, query: str, least: float, n: int, key: str, content: str) -> DataFrame:
     """The n documents whose fingerprint has at least that cosine to a JSON query's."""
-    q = docs.sparkSession.range(1).select(F.lit(query).alias("q")).select(fingerprint(F.col("q")).alias("__q"))
-    d = docs.select(key, fingerprint(F.col(content)).alias("__v")).crossJoin(F.broadcast(q))  # one row
-    return d.select(key, F.round(vectors.cosine(F.col("__v"), F.col("__q")), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(n)
+    q = docs.sparkSession.range(1).select(F.lit(query).alias("q")).select(fingerprint(F.col("q"))).first()[0]
+    d = docs.select(key, F.col(content).alias("__c")).repartition(key)  # many documents can lie in one small file, which is one task
+    return d.select(key, F.round(vectors.to_query(q or [])(fingerprint(F.col("__c"))), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(n)
 
 
 def chosen(value: dict, include: set[str] | None, exclude: set[str]) -> dict:
@@ -80,9 +80,11 @@ def field_prints(c: Column, include: list[str] | None = None, exclude: tuple[str
 
 def similar_field(docs: DataFrame, query: str, field: str, least: float, n: int, key: str, content: str) -> DataFrame:
     """The n documents whose print of one field has at least that cosine to a JSON query's; those without the field have none."""
-    q = docs.sparkSession.range(1).select(vectors.byte_embedding(F.try_element_at(field_prints(F.lit(query)), F.lit(field))).alias("__q"))
-    d = docs.select(key, vectors.byte_embedding(F.try_element_at(field_prints(F.col(content)), F.lit(field))).alias("__v")).where("__v IS NOT NULL").crossJoin(F.broadcast(q))  # one row
-    return d.select(key, F.round(vectors.cosine(F.col("__v"), F.col("__q")), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(n)
+    prints = lambda c: vectors.byte_embedding(F.try_element_at(field_prints(c, [field]), F.lit(field)))
+    q = docs.sparkSession.range(1).select(prints(F.lit(query))).first()[0]
+    d = docs.select(key, F.col(content).alias("__c")).repartition(key)  # many documents can lie in one small file, which is one task
+    d = d.select(key, prints(F.col("__c")).alias("__v")).where("__v IS NOT NULL")
+    return d.select(key, F.round(vectors.to_query(q or [])(F.col("__v")), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(n)
 
 
 def stored(old: DataFrame, new: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:

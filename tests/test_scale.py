@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
-from polystrata.operators import rca, vectors
+from polystrata.operators import jsondocs, rca, vectors
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -97,3 +97,13 @@ def test_scores_of_odd_vectors(spark):
         assert got == {i: pytest.approx(s, nan_ok=True) for i, s in want}
     p = _plan(vectors.knn(df, [1.0, 2.0, 3.0], 3))
     assert p.count("ArrowEvalPython") == 1 and "lambda" not in p
+
+
+def test_one_field_of_documents_in_one_file(spark):
+    """Only the field that is asked for comes back from JSON, documents of one file are spread over tasks, and no expression goes over the numbers of a print."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(['{"a": "x", "b": 1}', '{"a": "x"}', '{"b": 1}', "{no", None, "[1]", '{"a": "zz"}'])], "id int, content string").repartition(1)
+    got = jsondocs.similar_field(docs, '{"a": "x"}', "a", 0.9999999, 5, "id", "content")
+    assert [tuple(r) for r in got.collect()] == [(0, 1.0), (1, 1.0)]
+    assert "Exchange hashpartitioning(id" in _plan(got) and "lambda" not in _plan(got)
+    assert sorted(r.id for r in jsondocs.similar_field(docs, '{"b": 2}', "a", 0.0, 5, "id", "content").collect()) == [0, 1, 6]
+    assert jsondocs.similar(docs, '{"a": "x"}', 0.9999999, 5, "id", "content").collect() == [(1, 1.0)]
