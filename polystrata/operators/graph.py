@@ -161,7 +161,7 @@ def meet(edges: DataFrame, start, end, most_rounds: int = 64) -> DataFrame:
     have been seen aren't seen again, so the two frontiers shrink to nothing.
     """
     spark = edges.sparkSession
-    fore = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    fore = materialize(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w")), "edges")  # else each round makes them anew
     sides = [fore, fore.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")]
     one = lambda x: materialize(spark.range(1).select(F.lit(x).alias("id"), F.lit(0).alias("hops"), F.lit(0.0).alias("weight")), "front")
     seen = [one(start), one(end)]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
-from polystrata.operators import jsondocs, rca, vectors
+from polystrata.operators import graph, jsondocs, rca, vectors
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -107,3 +107,17 @@ def test_one_field_of_documents_in_one_file(spark):
     assert "Exchange hashpartitioning(id" in _plan(got) and "lambda" not in _plan(got)
     assert sorted(r.id for r in jsondocs.similar_field(docs, '{"b": 2}', "a", 0.0, 5, "id", "content").collect()) == [0, 1, 6]
     assert jsondocs.similar(docs, '{"a": "x"}', 0.9999999, 5, "id", "content").collect() == [(1, 1.0)]
+
+
+def test_edges_are_made_once(spark):
+    """However many rounds a meeting takes, its edges are worked out once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            made.add(len(p))
+            yield p
+
+    e = spark.createDataFrame([(i, i + 1, 1) for i in range(6)], "src int, dst int, weight int").mapInPandas(counted, "src int, dst int, weight int")
+    assert [tuple(r) for r in graph.meet(e, 0, 6).collect()] == [(6, 6.0)]
+    assert made.value == 6
