@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
-from polystrata.operators import graph, jsondocs, rca, vectors
+from polystrata.operators import graph, jsondocs, logs, rca, vectors
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -121,3 +121,27 @@ def test_edges_are_made_once(spark):
     e = spark.createDataFrame([(i, i + 1, 1) for i in range(6)], "src int, dst int, weight int").mapInPandas(counted, "src int, dst int, weight int")
     assert [tuple(r) for r in graph.meet(e, 0, 6).collect()] == [(6, 6.0)]
     assert made.value == 6
+
+
+def test_shards_are_sent_as_texts(spark):
+    """A row is shuffled with its text, not with an embedding of 3 kB; repeated texts find what they would one by one, also once a ring of primaries is full."""
+    r = random.Random(8)
+    texts = [r.choice(["", None, *("".join(r.choice("ab") for _ in range(r.choice([1, 2, 5]))) for _ in range(3))]) for _ in range(400)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, shard string, text string")
+    for kept in (3, 100):
+        got = logs.near_duplicates(df, ["shard"], ["id"], least=0.97, kept=kept)
+        ring, want = [], {}
+        for i, t in enumerate(texts):
+            v = np.zeros(384)
+            for k, y in enumerate((t or "").encode()):
+                v[k] += y / 255
+            v /= np.linalg.norm(v) or 1
+            s = [(float(u @ v), -at, j) for at, (j, u) in enumerate(ring)]
+            top = max(s)[0] if s else 0
+            if v.any() and top > 0.97:
+                want[i] = next(j for a, _, j in s if a >= top - 1e-12)
+            else:
+                want[i] = None
+                ring = [*ring, (i, v)][-kept:]
+        assert {x.id: x.primary_id for x in got.collect()} == want
+    assert "ArrowEvalPython" not in _plan(got)
