@@ -152,7 +152,8 @@ def _count_of(column: str, term: str) -> Column:
 def log_tf(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Mean over the query's terms of (1 + log10 count) / (1 + count / words)."""
     q = sorted(set(query_tokens(query)))
-    d = docs.where(may_hold(F.col(text), q)).select(key, tokens(F.col(text)).alias("__t"))
+    # A row of one: a projection would be put into the filter on the score, which would cut the text into words for each use.
+    d = docs.where(may_hold(F.col(text), q)).select(key, F.explode(F.array(tokens(F.col(text)))).alias("__t"))
     total = F.lit(0.0)
     for t in q:
         c = _count_of("__t", t)

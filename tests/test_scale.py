@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
-from polystrata.operators import graph, jsondocs, logs, rca, vectors
+from polystrata.operators import graph, jsondocs, logs, rca, text, vectors
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -145,3 +145,11 @@ def test_shards_are_sent_as_texts(spark):
                 ring = [*ring, (i, v)][-kept:]
         assert {x.id: x.primary_id for x in got.collect()} == want
     assert "ArrowEvalPython" not in _plan(got)
+
+
+def test_texts_are_cut_once(spark):
+    """The filter on a score doesn't cut the text into words again."""
+    docs = spark.createDataFrame([(1, "heron heron walks"), (2, "none"), (3, None), (4, "")], "doc_id long, text string")
+    got = text.log_tf(docs, "heron thin")
+    assert [tuple(r) for r in got.collect()] == [(1, pytest.approx((1 + np.log10(2)) / (1 + 2 / 3) / 2, abs=1e-6))]
+    assert _plan(got).count("regexp_extract_all") == 1
