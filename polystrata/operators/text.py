@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 STOP = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "this", "that", "it", "as", "from")
 SUFFIXES = ("ing", "ed", "s", "es", "ly", "ment", "tion", "able", "ible")
@@ -21,6 +23,11 @@ def stem(word: Column) -> Column:
     return F.coalesce(out, word)
 
 
+def stemmed(word: str) -> str:
+    """stem() of one word, in Python."""
+    return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) > len(s) + 2), word)
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
@@ -39,7 +46,7 @@ def query_tokens(query: str) -> list[str]:
     out = []
     for w in re.findall(r"[^\W_]+", query.lower()):
         if 2 <= len(w.encode()) <= 50 and w not in STOP:
-            out.append(next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) > len(s) + 2), w))
+            out.append(stemmed(w))
     return out
 
 
@@ -73,25 +80,57 @@ def search(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text")
 # ------------------------------------------------------------------ persisted index
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of (key, words that aren't stemmed): a row for each term with the keys, numbers of words and term frequencies of its documents, and a row '' with the sum of words and the number of documents. A word is stemmed once a batch."""
+    for b in batches:
+        key, lists = b.column(0), b.column(1)
+        n, words = len(key), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        raw = lists.flatten().dictionary_encode()
+        stems = pa.array([stemmed(w) for w in raw.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        term = stems.indices.to_numpy(zero_copy_only=False)[raw.indices.to_numpy(zero_copy_only=False)]
+        pairs, tf = np.unique(term.astype(np.int64) * n + np.repeat(np.arange(n), words), return_counts=True)  # by term, then place in the batch
+        of, at = np.divmod(pairs, max(1, n))
+        ends = np.append(np.searchsorted(of, np.arange(len(stems.dictionary) + 1)), len(of) + 1).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(np.minimum(ends, len(of))), key.take(pa.array(at)))
+        words_of, tfs = (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.append(x, total).astype(np.int32))) for x, total in ((words[at], words.sum()), (tf, n)))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([stems.dictionary, pa.array([""])]), keys, words_of, tfs], ["term", "keys", "words", "tfs"])
+
+
+def _folder(term: Column, slots: int, parts: int) -> Column:
+    """The folder of a term: neighbouring partitions of a shuffle by term into ``slots`` share one."""
+    return F.floor(F.pmod(F.hash(term), F.lit(slots)) * parts / slots).cast("int")
+
+
 def save_index(docs: DataFrame, path: str, parts: int = 16, key: str = "doc_id", text: str = "text") -> None:
-    """Writes the inverted index with each document's number of words, in folders by a hash of the term and sorted by term in each file, so that a query reads few row groups of few folders; and the documents and words there are."""
-    d = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("__t")).withColumn("words", F.size("__t"))
-    p = d.select("key", "words", F.explode("__t").alias("term")).groupBy("key", "words", "term").agg(F.count("*").cast("int").alias("tf"))
-    p = p.withColumn("part", F.pmod(F.hash("term"), F.lit(parts)))
-    p.repartition("part", "term").sortWithinPartitions("part", "term", "key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    d.agg(F.count("*").alias("documents"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.lit(parts).alias("parts")).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+    """Writes the inverted index with each document's number of words, in folders by a hash of the term and sorted by term in each file, so that a query reads few row groups of few folders; and the documents and words there are. ``key`` is unique.
+
+    A text is cut into words once, and its terms are counted before they are shuffled, once: a row holds a term's
+    documents of an Arrow batch. The totals of batches are in the folder -1.
+    """
+    spark = docs.sparkSession
+    raw = F.coalesce(tokens(F.col(text), stems=False), F.array().cast("array<string>"))
+    schema = StructType().add("term", "string").add("keys", ArrayType(docs.schema[key].dataType)).add("words", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
+    none = spark.createDataFrame([("", [], [0], [0])], schema)  # so that an index of no document has its columns
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = tasks * -(-parts // tasks)
+    p = docs.select(key, raw.alias("words")).mapInArrow(_inverted, schema).unionByName(none).repartition("term")
+    p = p.withColumn("part", F.when(F.col("term") == "", -1).otherwise(_folder(F.col("term"), slots, parts)))
+    p.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    total = spark.read.parquet(f"{path}/postings").where("part = -1").select(F.get("tfs", F.lit(0)).alias("documents"), F.get("words", F.lit(0)).alias("words"))
+    total.agg(F.sum("documents").alias("documents"), F.sum("words").alias("words"), F.lit(parts).alias("parts"), F.lit(slots).alias("slots")).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
 
 
 def load_index(spark, path: str, terms: list[str] | None = None) -> DataFrame:
     """The postings (key, words, term, tf, part) of some terms, or all; folders and row groups of others aren't read."""
-    p = spark.read.parquet(f"{path}/postings")
-    if terms is None:
-        return p
-    if not terms:
-        return p.where(F.lit(False))
-    parts = spark.read.parquet(f"{path}/summary").first()["parts"]
-    owner = spark.range(1).select(F.array_distinct(F.array(*(F.pmod(F.hash(F.lit(t)), F.lit(parts)) for t in terms)))).first()[0]
-    return p.where(F.col("part").isin(owner) & F.col("term").isin(terms))
+    p = spark.read.parquet(f"{path}/postings").where("part >= 0")
+    if terms is not None and not terms:
+        p = p.where(F.lit(False))
+    elif terms is not None:
+        s = spark.read.parquet(f"{path}/summary").first()
+        owner = spark.range(1).select(F.array_distinct(F.array(*(_folder(F.lit(t), s["slots"], s["parts"]) for t in terms)))).first()[0]
+        p = p.where(F.col("part").isin(owner) & F.col("term").isin(terms))
+    documents = F.arrays_zip(F.col("keys").alias("key"), F.col("words"), F.col("tfs").alias("tf"))
+    return p.select("term", "part", F.explode(documents).alias("x")).select("x.key", "x.words", "term", "x.tf", "part")
 
 
 def search_index(spark, path: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose work must grow no faster than their input: the results against plain loops, and the form of their plans."""
 
 import datetime
+import math
 import random
 from collections import Counter
 
@@ -153,3 +154,49 @@ def test_texts_are_cut_once(spark):
     got = text.log_tf(docs, "heron thin")
     assert [tuple(r) for r in got.collect()] == [(1, pytest.approx((1 + np.log10(2)) / (1 + 2 / 3) / 2, abs=1e-6))]
     assert _plan(got).count("regexp_extract_all") == 1
+
+
+def test_index_is_saved_in_one_pass(spark, tmp_path):
+    """Each text is read once and a batch's documents of a term are one row, with the postings and scores of plain loops; and an index of no document can be searched."""
+    r = random.Random(15)
+    vocabulary = ["walk", "walked", "walking", "the", "x", "größe", "日本", "rust", "code", "codes", "w" * 51, "İstanbul", "a1", "sing"]
+    rows = [(k, r.choice([None, "", " ".join(r.choice(vocabulary) for _ in range(r.randrange(30)))])) for k in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want, words = {}, {}
+    for x in docs.select("doc_id", text.tokens(F.col("text")).alias("t")).collect():
+        words[x.doc_id] = len(x.t or [])
+        want |= {(x.doc_id, t): n for t, n in Counter(x.t or []).items()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 1000):
+            at = str(tmp_path / f"index{size}")
+            seen.value = 0
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            text.save_index(docs.withColumn("text", F.udf(look, "string").asNondeterministic()("text")), at)
+            assert seen.value == len(rows)
+            got = text.load_index(spark, at).collect()
+            assert len(got) == len(want) and {(x.key, x.term): (x.tf, x.words) for x in got} == {k: (n, words[k[0]]) for k, n in want.items()}
+            for x in text.load_index(spark, at, ["walk", "日本", "absent"]).select("term").distinct().collect():
+                assert x.term in ("walk", "日本")
+            s = spark.read.parquet(f"{at}/summary").first()
+            assert (s.documents, s.words) == (len(rows), sum(words.values()))
+            for q in ("walking walks rust", "日本 code", "the", "absent"):
+                scores = Counter()
+                for t in set(text.query_tokens(q)):
+                    df = sum(u == t for _, u in want)
+                    for k, tf in ((k, n) for (k, u), n in want.items() if u == t):
+                        scores[k] += math.log(1 + (len(rows) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words[k] * len(rows) / sum(words.values())))
+                assert {x.key: x.bm25 for x in text.search_index(spark, at, q).collect()} == {k: pytest.approx(v, abs=2e-6) for k, v in scores.items()}
+        assert spark.read.parquet(f"{at}/postings").where("part >= 0").count() == len({t for _, t in want})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    none = str(tmp_path / "none")
+    text.save_index(docs.where("doc_id < 0"), none)
+    assert text.load_index(spark, none).count() == text.search_index(spark, none, "rust").count() == 0
+    assert tuple(spark.read.parquet(f"{none}/summary").first())[:2] == (0, 0)
